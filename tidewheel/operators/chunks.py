@@ -17,10 +17,15 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 60_000
 
 
+def plain(name: str) -> str:
+    """A column's name without dots, which the Arrow stages can't resolve."""
+    return name.replace(".", "_")
+
+
 def frame_chunks(frames: DataFrame, columns: list[str], length: int, overlap: int = 0) -> DataFrame:
     """Rows by (episode_index, chunk), ordered by frame_index and received_at; chunk = frame_index // length.
 
-    With an overlap a row is also given to a neighbouring chunk that begins or ends within so many frame indexes. Rows without
+    Dots in column names become underscores. With an overlap a row is also given to a neighbouring chunk that begins or ends within so many frame indexes. Rows without
     episode_index or frame_index belong to no chunk and are left out.
     """
     fi = F.col("frame_index")
@@ -28,7 +33,7 @@ def frame_chunks(frames: DataFrame, columns: list[str], length: int, overlap: in
     picked = ["episode_index", "frame_index", *columns, "received_at"]
     at = lambda x: F.floor(x / F.lit(length))
     chunk = at(fi) if not overlap else F.explode(F.sequence(at(fi - overlap), at(fi + overlap)))
-    cut = base.select(*(F.col(f"`{c}`") for c in dict.fromkeys(picked)), chunk.alias("chunk"))
+    cut = base.select(*(F.col(f"`{c}`").alias(plain(c)) for c in dict.fromkeys(picked)), chunk.alias("chunk"))
     return cut.repartition("episode_index", "chunk").sortWithinPartitions("episode_index", "chunk", "frame_index", "received_at")
 
 
