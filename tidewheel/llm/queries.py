@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewheel.llm import nearest
+from tidewheel.llm import nearest, runs
 from tidewheel.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +17,27 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest.marker_frames(table(spark, d, "marker_readings"), table(spark, d, "frames")).select("reading_id", "frame_index")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return runs.collapse_runs(table(spark, d, "frames")).select("episode_index", "first_frame_index", "last_frame_index")
+
+
+def p4_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.collapse_runs(table(spark, d, "frames")).withColumn("duration_s", F.round("duration_s", 6))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+_RUNS = """
+    with a as (select episode_index e, frame_index fi, any_value(cast("timestamp" as double)) t, any_value("observation.state") s from frames
+        where episode_index is not null and frame_index is not null group by 1, 2),
+    b as (select *, lag(s) over (partition by e order by fi) p from a where s is not null),
+    c as (select *, case when list_bool_and(list_transform(list_zip(s, p), lambda x: coalesce(isfinite(x[1]) and isfinite(x[2]) and abs(cast(x[1] as double) - cast(x[2] as double)) <= 0.0015, false))) then 0 else 1 end b from b),
+    d as (select *, sum(b) over (partition by e order by fi) r from c)
+    select e episode_index, min(fi) first_frame_index, max(fi) last_frame_index, cast(count(*) as bigint) n_frames, round(max(t) - min(t), 6) duration_s
+    from d group by e, r having count(*) >= 5"""
+
 SQL: dict[str, str] = {
     "p1_found": """
         with r as (select distinct reading_id, episode_index, cast("timestamp" as double) t from marker_readings where "timestamp" is not null),
@@ -28,4 +46,6 @@ SQL: dict[str, str] = {
             select reading_id, f.frame_index, row_number() over (partition by reading_id order by abs(r.t - f.t), f.t, f.frame_index) k
             from r join f on r.episode_index = f.episode_index and f.t between r.t - 0.05 and r.t + 0.05 where abs(r.t - f.t) <= 0.04)
         where k = 1""",
+    "p4_found": f"select episode_index, first_frame_index, last_frame_index from ({_RUNS})",
+    "p4_runs": _RUNS,
 }
