@@ -1 +1 @@
-"""plans."""
+"""Whole queries over the test tables, with SQL that says the same."""
