@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.operators import spikes
+from tidewheel.operators import grid, spikes
 from tidewheel.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    filled = grid.onto_grid(table(spark, d, "frames"), table(spark, d, "episodes"))
+    return filled.where("status <> 'observed'").select("episode_index", "grid_index")
+
+
+def p3_grid(spark: SparkSession, d: str) -> DataFrame:
+    return grid.onto_grid(table(spark, d, "frames"), table(spark, d, "episodes"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = spikes.implausible_readings(table(spark, d, "frames"), table(spark, d, "joint_limits"))
     return found.select("episode_index", "frame_index", "field", "joint_index")
@@ -46,6 +55,11 @@ _IMPLAUSIBLE = """
     where impossible or stuck or spike"""
 
 SQL = {
+    "p3_found": """
+        with p as (select episode_index e, cast(min(fps) as double) fps from episodes where fps > 0 group by 1),
+        f as (select e, fps, cast("timestamp" as double) t, "observation.state" is not null there from frames join p on episode_index = e where "timestamp" is not null and isfinite("timestamp")),
+        g as (select e, unnest(range(0, cast(floor(max(t) * any_value(fps) + 0.5) as bigint) + 1)) k from f group by 1)
+        select e episode_index, k grid_index from g anti join (select distinct e, cast(floor(t * fps + 0.5) as bigint) k from f where there) o using (e, k)""",
     "p5_found": f"select episode_index, frame_index, field, joint_index from ({_IMPLAUSIBLE})",
     "p5_reasons": _IMPLAUSIBLE,
 }
