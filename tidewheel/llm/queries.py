@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import components, nearest, percentiles, runs
+from tidewheel.llm import components, leaks, mixing, nearest, percentiles, pieces, runs
 from tidewheel.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,36 @@ def p6_day_counts(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.day_counts(table(spark, d, "frames"), table(spark, d, "episodes"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return leaks.without_leaks(documents, leaks.leaks(documents, table(spark, d, "heldout_items"))).select("doc_id", "source", "n_chars")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.short_sources(mixing.demand(mixing.token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets")))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(mixing.token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    counts, targets = mixing.token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    return mixing.reached_shares(counts, targets, mixing.mix(counts, targets))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.split_oversized(table(spark, d, "documents")).where("piece_index = 0").select("doc_id")
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.split_oversized(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
