@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from tidewheel.plans import recordings
+from tidewheel.plans import recordings, scans
 
-_MODULES = (recordings,)
+_REGISTRIES = (scans.query,)
 
 
 def queries() -> dict:
-    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+    return {k: v for r in _REGISTRIES for k, v in r.queries.items()} | recordings.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in _MODULES for k, v in m.SQL.items()}
+    return {k: v for r in _REGISTRIES for k, v in r.sql.items()} | recordings.SQL
