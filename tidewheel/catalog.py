@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewheel.plans import recordings, scans
+from tidewheel.plans import recordings, relations, scans, timelines
 
-_REGISTRIES = (scans.query,)
+_REGISTRIES = (scans.query, relations.query, timelines.query)
 
 
 def queries() -> dict:
