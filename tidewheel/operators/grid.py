@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.operators.chunks import floats, ints, matrix, starts_of, whole_groups
-from tidewheel.session import attach, ensure_checkpoint_dir
+from tidewheel.session import attach, ensure_checkpoint_dir, exact
 
 #: Grid points that a window hands out, and those it sees on either side.
 CORE, MARGIN = 32, 8
@@ -146,6 +146,7 @@ def onto_grid(frames: DataFrame, episodes: DataFrame, field: str = "observation.
     Repeated rows change nothing; of several fps of one episode the smallest counts. Empty tables give no row.
     """
     spark = frames.sparkSession
+    frames, episodes = exact(frames, "episode_index", "frame_index", "timestamp", field), exact(episodes, "episode_index", "fps")
     t = F.col("timestamp").cast("double")
     fine = frames.where(F.col("episode_index").isNotNull() & t.isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf")))
     rates = episodes.where("episode_index is not null and fps > 0").groupBy("episode_index").agg(F.min("fps").cast("int").alias("fps"))

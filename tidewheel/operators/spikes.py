@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.operators.chunks import first_deliveries, frame_chunks, ints, matrix, plain, starts_of, whole_groups
-from tidewheel.session import attach, cut
+from tidewheel.session import attach, cut, exact
 
 #: Frame indexes of one chunk of an episode, and those a chunk sees beyond its edges.
 CHUNK, OVERLAP = 65_536, 2_048
@@ -209,7 +209,8 @@ def implausible_readings(
     exact; at a chunk's edge, after more than `overlap` missing frame indexes in a row, the series is taken to begin anew, and of a
     stuck stretch that goes on further than the overlap each chunk judges what it sees. An empty table gives no row.
     """
-    known = [r for r in limits.where("joint_index is not null").limit(10_001).collect()]
+    frames = exact(frames, "episode_index", "frame_index", *fields, "received_at")
+    known = [r for r in exact(limits, "joint_index", "lower_rad", "upper_rad").where("joint_index is not null").limit(10_001).collect()]
     if len(known) > 10_000:
         raise ValueError("limits has more than 10,000 rows")
     width = 1 + max((r["joint_index"] for r in known), default=-1)

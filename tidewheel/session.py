@@ -48,6 +48,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exact(df: DataFrame, *names: str) -> DataFrame:
+    """Only the columns of exactly these names, whatever else the table has: also names that differ in case alone, or twice."""
+    there = df.columns
+    if missing := [n for n in names if n not in there]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    first = {n: there.index(n) for n in names}
+    return df.toDF(*(c if first.get(c) == i else f"__other_{i}" for i, c in enumerate(there))).select(*(F.col(f"`{n}`") for n in names))
+
+
 def attach(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a narrow dimension with one row per key to a fact table.
 
