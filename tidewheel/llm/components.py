@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.session import attach, cut
+from tidewheel.session import attach, cut, exact
 
 #: Links of the graph of seed labels up to which one task merges them; a larger one is searched in the same way again.
 SMALL_LINKS = 500_000
@@ -93,7 +93,7 @@ def related_episodes(episodes: DataFrame) -> DataFrame:
     that name the same source, also one that is gone. group_id is the group's smallest episode_index among the rows of episodes.
     Repeated rows and null episode_index change nothing; an empty table gives no row.
     """
-    e = episodes.where("episode_index is not null")
+    e = exact(episodes, "episode_index", "session_id", "source_episode_index").where("episode_index is not null")
     session = F.lower(F.regexp_replace("session_id", r"(?U)^\s+|\s+$", ""))
     of_session = e.select(F.concat(F.lit("session "), session).alias("key"), F.col("episode_index").alias("v"))
     origin = F.concat(F.lit("source "), F.col("source_episode_index").cast("string")).alias("key")
@@ -107,6 +107,7 @@ def related_episodes(episodes: DataFrame) -> DataFrame:
 
 def _sizes(episodes: DataFrame, frames: DataFrame) -> DataFrame:
     """(episode_index, n_frames) of every episode of either table; a frame delivered twice counts once."""
+    episodes, frames = exact(episodes, "episode_index"), exact(frames, "episode_index", "frame_index")
     fine = frames.where("episode_index is not null and frame_index is not null")
     counted = fine.groupBy("episode_index", "frame_index").agg(F.lit(1).alias("one")).groupBy("episode_index").agg(F.count("*").alias("n_frames"))
     rest = episodes.where("episode_index is not null").select("episode_index", F.lit(0).cast("long").alias("n_frames"))
@@ -121,7 +122,7 @@ def split_related(episodes: DataFrame, frames: DataFrame, targets: DataFrame) ->
     without relations are groups of their own, those without frames included. targets: split, target_share; at most 1,000 rows; none
     gives split null. The running sum is taken over 1,024 ranges of the hash and then within each, never in one task.
     """
-    names = [r for r in targets.where("split is not null and target_share > 0").orderBy("split").limit(1_001).collect()]
+    names = [r for r in exact(targets, "split", "target_share").where("split is not null and target_share > 0").orderBy("split").limit(1_001).collect()]
     if len(names) > 1_000:
         raise ValueError("targets has more than 1,000 rows")
     related = related_episodes(episodes).select("episode_index", F.col("group_id").alias("g"))

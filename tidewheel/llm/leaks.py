@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidewheel.session import exact
+
 #: Units (words; characters for items in Chinese) that make a leak, and of how many one may be changed.
 LEAST_WORDS, LEAST_CHARS, CHANGED = 15, 30, 8
 #: Longest verbatim stretch that every tolerated passage has at least: with one change in eight, 16 units fall into 3 stretches of 14.
@@ -274,10 +276,10 @@ def leaks(documents: DataFrame, items: DataFrame, shard_units: int = SHARD_UNITS
     a leak give no row; repeated rows of one id give one row per task they are in; empty tables give no row.
     """
     spark = documents.sparkSession
-    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    texts = exact(documents, "doc_id", "text").where("doc_id is not null and text is not null")
     block: list[tuple[int, str, str]] = []
     out = spark.createDataFrame([], "doc_id long, item_id long, n_units long, first_unit long")
-    rows = items.where("item_id is not null and text is not null").select("item_id", "lang", "text").distinct().orderBy("item_id")
+    rows = exact(items, "item_id", "lang", "text").where("item_id is not null and text is not null").distinct().orderBy("item_id")
     everything = [tuple(r) for r in rows.toLocalIterator()]  # the query set: a stated, fixed table
     stock = stock_sentences(everything)
     for i in range(0, len(everything), items_per_block):
@@ -289,4 +291,4 @@ def leaks(documents: DataFrame, items: DataFrame, shard_units: int = SHARD_UNITS
 
 def without_leaks(documents: DataFrame, found: DataFrame) -> DataFrame:
     """The documents that leak nothing."""
-    return documents.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    return documents.join(exact(found, "doc_id").distinct(), "doc_id", "left_anti")

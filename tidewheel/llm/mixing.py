@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.tokens import VOCABULARY, clean, encoding
-from tidewheel.session import cut
+from tidewheel.session import cut, exact
 
 #: Largest table of targets.
 MOST_SOURCES = 10_000
@@ -29,7 +29,7 @@ def _count(vocabulary: str):  # noqa: ANN202
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens) of every document, counted once and kept; null texts have 0 tokens."""
-    rows = documents.select(F.col("doc_id").cast("long"), "source", "text")
+    rows = exact(documents, "doc_id", "source", "text").select(F.col("doc_id").cast("long"), "source", "text")
     return cut(rows.mapInArrow(_count(vocabulary), "doc_id long, source string, tokens long"))
 
 
@@ -40,6 +40,7 @@ def demand(counts: DataFrame, targets: DataFrame) -> DataFrame:
     source's tokens; used is the smaller; it is met by whole passes over the source and a rest. A source without documents has none;
     null max_repeats counts as 1, a null or negative share as 0. Of repeated targets of one source the first in order of share is kept.
     """
+    targets = exact(targets, "source", "target_share", "max_repeats")
     if targets.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
         raise ValueError(f"targets has more than {MOST_SOURCES} rows")
     one = targets.where("source is not null").groupBy("source").agg(F.min_by("target_share", F.struct("target_share", "max_repeats")).alias("target_share"), F.min_by("max_repeats", F.struct("target_share", "max_repeats")).alias("max_repeats"))

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.session import exact
+
 #: Width in seconds of a time range; with the margins it bounds what one entity brings to one group.
 RANGE_S = 32.0
 #: Rows of both tables aimed at in a co-grouped shard.
@@ -56,6 +58,7 @@ def nearest_in_time(
     Other columns are never read, so their names can't clash.
     """
     spark = left.sparkSession
+    left, right = exact(left, left_id, entity, time), exact(right, right_value, entity, time)
     rows = left.count() + right.count()  # Parquet metadata only
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // shard_rows))
     t = F.col(f"`{time}`").cast("double")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.operators.chunks import first_deliveries, frame_chunks, matrix, plain, whole_groups
-from tidewheel.session import attach, cut
+from tidewheel.session import attach, cut, exact
 
 #: Width of a cell of values; an estimate is at most half of it from the exact percentile. A power of two, so cells are exact.
 RESOLUTION = 1 / 1024
@@ -66,8 +66,9 @@ def day_counts(
     frame_index, null fields, null and not-finite elements are left out. Empty tables give no row. A robot with a third of all rows is
     counted in place, by chunk, before anything is shuffled by robot.
     """
+    frames, episodes = exact(frames, "episode_index", "frame_index", *fields, "received_at"), exact(episodes, "episode_index", "robot_id")
     robots = episodes.where("episode_index is not null and robot_id is not null").groupBy("episode_index").agg(F.min("robot_id").alias("robot_id"))
-    rows = frame_chunks(attach(frames.select("episode_index", "frame_index", "received_at", *(f"`{f}`" for f in fields)), robots, "episode_index"), [*fields, "robot_id"], CHUNK)
+    rows = frame_chunks(attach(frames, robots, "episode_index"), [*fields, "robot_id"], CHUNK)
     return merge_counts(rows.mapInArrow(_count(list(fields), list(names), width, resolution), _COUNTS))
 
 

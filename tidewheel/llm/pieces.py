@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewheel.llm.tokens import VOCABULARY, byte_lengths, clean, encoding
+from tidewheel.session import exact
 
 #: Most tokens of a piece, tokens it repeats of the one before, and tokens kept free for what a cut changes in the tokens beside it.
 LIMIT, OVERLAP, SLACK = 1_000, 100, 8
@@ -133,4 +134,4 @@ def split_oversized(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
     included. Null and shorter texts give no row; a text without any boundary is cut between characters; doc_id may be null or
     repeated, as each row is cut by itself, in place and without a shuffle. An empty table gives no row; other columns are not read.
     """
-    return documents.select("doc_id", "text").where("text is not null").mapInArrow(_cut(limit, overlap, vocabulary), _PIECE)
+    return exact(documents, "doc_id", "text").where("text is not null").mapInArrow(_cut(limit, overlap, vocabulary), _PIECE)

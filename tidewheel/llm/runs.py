@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.operators.chunks import first_deliveries, floats, frame_chunks, ints, matrix, plain, starts_of, whole_groups
-from tidewheel.session import cut
+from tidewheel.session import cut, exact
 
 #: Frame indexes of one chunk of an episode.
 CHUNK = 32_768
@@ -76,6 +76,7 @@ def collapse_runs(frames: DataFrame, field: str = "observation.state", width: in
     A chunk's runs at its edges are joined with those of its neighbours over one row per chunk end, so an episode of any length is
     spread over tasks. An empty table gives no row; other columns are not read.
     """
+    frames = exact(frames, "episode_index", "frame_index", "timestamp", field, "received_at")
     rows = frame_chunks(frames, ["timestamp", field], chunk)
     # Small: runs of at least `least` frames and two rows per chunk. It is read twice, so it is cut here.
     parts = cut(rows.mapInArrow(_parts(plain(field), width, tolerance, least), _PART))
