@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.functions.vectors import nonfinite
 from tidewheel.operators.chunks import first_deliveries, frame_chunks, ints, matrix, plain, starts_of, whole_groups
 from tidewheel.session import attach, cut, exact
 
@@ -25,6 +26,7 @@ SPIKE_LENGTH, SPIKE_STEPS, STUCK_LENGTH, OTHER_RANGE = 3, 10.0, 15, 0.05
 
 _FLAGS = "episode_index long, frame_index long, field string, joint_index long, impossible boolean, stuck boolean, spike boolean, usual_step double"
 _STEPS = "episode_index long, channel int, step double, n long"
+_ENDS = "episode_index long, channel int, chunk long, kind int, first long, last long, n long, low double, high double, value double"
 
 
 def usual_steps(x: np.ndarray, ok: np.ndarray, group: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -110,24 +112,34 @@ def _spikes(v: np.ndarray, group: np.ndarray, candidate: np.ndarray, step: np.nd
     return out
 
 
-def _stuck(v: np.ndarray, other: np.ndarray, group: np.ndarray, quiet: np.ndarray) -> np.ndarray:
-    """Which readings of a channel lie in a stretch of equal values that the filter calls quiet, while the other field moves."""
+def _stretches(v: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where stretches of equal values of a channel begin, and their lengths. Not-finite values are no stretch but by themselves."""
     start = np.ones(len(v), bool)
-    start[1:] = (v[1:] != v[:-1]) | (group[1:] != group[:-1])
+    start[1:] = ~((v[1:] == v[:-1]) & np.isfinite(v[1:])) | (group[1:] != group[:-1])
     begin = np.flatnonzero(start)
-    length = np.diff(np.append(begin, len(v)))
+    return begin, np.diff(np.append(begin, len(v)))
+
+
+def _stuck(v: np.ndarray, other: np.ndarray, group: np.ndarray, quiet: np.ndarray, fi: np.ndarray, chunk: int, across: dict[int, list[tuple[int, int]]] | None) -> np.ndarray:
+    """Which readings of a channel lie in a stretch of equal values that the filter calls quiet, while the other field moves.
+
+    across: by group, the stuck stretches over chunk borders; what crosses a border here is judged by them, as only a part may be seen.
+    """
+    begin, length = _stretches(v, group)
     out = np.zeros(len(v), bool)
-    long = np.flatnonzero(length >= STUCK_LENGTH)
-    for i, k in zip(begin[long], length[long], strict=True):
-        if quiet[i : i + k].any():
+    for i, k in zip(begin, length, strict=True) if across is not None else zip(begin[length >= STUCK_LENGTH], length[length >= STUCK_LENGTH], strict=True):
+        if across is not None and fi[i] // chunk != fi[i + k - 1] // chunk:
+            out[i : i + k] = any(a <= fi[i + k - 1] and fi[i] <= b for a, b in across.get(int(group[i]), ()))
+        elif k >= STUCK_LENGTH and quiet[i : i + k].any():
             o = other[i : i + k]
             o = o[np.isfinite(o)]
-            if len(o) and o.max() - o.min() > OTHER_RANGE:
-                out[i : i + k] = True
+            out[i : i + k] = len(o) > 0 and o.max() - o.min() > OTHER_RANGE
     return out
 
 
 def _read(block: pa.Table, fields: list[str], width: int, lower: np.ndarray, upper: np.ndarray):  # noqa: ANN202
+    if block.column("frame_index").null_count:
+        block = block.filter(block.column("frame_index").is_valid())
     t = first_deliveries(block)
     both = [matrix(t, plain(f), width) for f in fields]
     x, there = np.hstack([m for m, _ in both]), np.repeat(np.column_stack([h for _, h in both]), width, axis=1)
@@ -140,14 +152,60 @@ def _read(block: pa.Table, fields: list[str], width: int, lower: np.ndarray, upp
     return t, x, there, ok, starts, np.cumsum(group) - 1
 
 
+def _told(block: pa.Table, t: pa.Table, starts: np.ndarray, steps: np.ndarray, channels: int):  # noqa: ANN202
+    """Usual steps and stuck stretches over chunk borders, from the rows without frame_index that come before a chunk's own."""
+    place = {k: g for g, k in enumerate(zip(ints(t, "episode_index")[starts].tolist(), ints(t, "chunk")[starts].tolist(), strict=True))}
+    across: list[dict[int, list[tuple[int, int]]]] = [{} for _ in range(channels)]
+    steps = steps.copy()
+    for r in block.filter(block.column("frame_index").is_null()).select(["episode_index", "chunk", "_steps", "_across"]).to_pylist():
+        g = place.get((r["episode_index"], r["chunk"]))
+        if g is not None:
+            steps[g] = [np.nan if x is None else x for x in r["_steps"] or [None] * channels]
+            for x in r["_across"] or ():
+                across[x["channel"]].setdefault(g, []).append((x["first"], x["last"]))
+    return steps, across
+
+
+def _ends(fields: list[str], width: int, lower: np.ndarray, upper: np.ndarray):  # noqa: ANN202
+    """The stretches of equal values at both ends of each chunk, by channel: kind 1 the first, 2 the last, 3 the only one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in whole_groups(batches, ["episode_index", "chunk"], 120_000):
+            t, x, there, _, _, group = _read(block, fields, width, lower, upper)
+            ep, ch, fi = (ints(t, c) for c in ("episode_index", "chunk", "frame_index"))
+            for c in range(2 * width):
+                here = np.flatnonzero(there[:, c])
+                if not len(here):
+                    continue
+                begin, length = _stretches(x[here, c], group[here])
+                g = group[here[begin]]
+                first = np.append(True, g[1:] != g[:-1])
+                kind = (first + 2 * np.append(first[1:], True)).astype(np.int32)
+                o = x[here, (1 - c // width) * width + c % width]
+                o = np.where(np.isfinite(o), o, np.nan)
+                low, high = np.fmin.reduceat(o, begin), np.fmax.reduceat(o, begin)
+                at = np.flatnonzero(kind)
+                a, b = here[begin[at]], here[begin[at] + length[at] - 1]
+                nan = np.isnan(low[at])
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "episode_index": ep[a], "channel": np.full(len(at), c, np.int32), "chunk": ch[a], "kind": kind[at], "first": fi[a], "last": fi[b], "n": length[at],
+                        "low": pa.array(low[at], mask=nan), "high": pa.array(high[at], mask=nan), "value": x[a, c],
+                    }
+                )
+
+    return work
+
+
 def _flag(fields: list[str], names: list[str], width: int, lower: np.ndarray, upper: np.ndarray, chunk: int, known: bool):  # noqa: ANN202
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in whole_groups(batches, ["episode_index", "chunk"], 120_000):
             t, x, there, ok, starts, group = _read(block, fields, width, lower, upper)
-            steps = usual_steps(x, ok, group, starts)
-            if known:  # of episodes in several chunks
-                given, has = matrix(t.take(pa.array(starts)), "_steps", 2 * width)
-                steps = np.where(has[:, None], given, steps)
+            if not t.num_rows:
+                continue
+            steps, across = usual_steps(x, ok, group, starts), [None] * (2 * width)
+            if known:
+                steps, across = _told(block, t, starts, steps, 2 * width)
             flagged, quiet = kalman(x, ok, starts, steps)
             ep, fi = ints(t, "episode_index"), ints(t, "frame_index")
             own = fi // chunk == ints(t, "chunk")
@@ -156,7 +214,7 @@ def _flag(fields: list[str], names: list[str], width: int, lower: np.ndarray, up
                 here = np.flatnonzero(there[:, c])
                 v, other = x[here, c], x[here, (1 - f) * width + j]
                 impossible = ~ok[here, c]
-                stuck = _stuck(v, other, group[here], quiet[here, c])
+                stuck = _stuck(v, other, group[here], quiet[here, c], fi[here], chunk, across[c])
                 spike = np.zeros(len(here), bool)
                 fine = np.flatnonzero(~impossible)
                 step = steps[group[here[fine]], c]
@@ -205,9 +263,9 @@ def implausible_readings(
     limits has joint_index, lower_rad and upper_rad (7 rows; null or missing: no limit). A frame delivered twice counts once; frames
     whose field is null are left out for that field; null elements count as not finite; rows without episode_index or frame_index are
     left out. Episodes are cut into chunks of frame indexes that see `overlap` indexes of their neighbours, so one episode may hold any
-    part of all rows; the usual step of an episode in several chunks is the exact median over all of them. Within a chunk the result is
-    exact; at a chunk's edge, after more than `overlap` missing frame indexes in a row, the series is taken to begin anew, and of a
-    stuck stretch that goes on further than the overlap each chunk judges what it sees. An empty table gives no row.
+    part of all rows; the usual step of an episode in several chunks is the exact median over all of them, and stuck stretches over
+    chunk borders are joined. The result is exact but for one case: at a chunk's edge, after more than `overlap` missing frame indexes
+    in a row, the series is taken to begin anew. An empty table gives no row.
     """
     frames = exact(frames, "episode_index", "frame_index", *fields, "received_at")
     known = [r for r in exact(limits, "joint_index", "lower_rad", "upper_rad").where("joint_index is not null").limit(10_001).collect()]
@@ -222,16 +280,35 @@ def implausible_readings(
             upper[r["joint_index"]] = r["upper_rad"]
     columns = list(fields)
     at = lambda f: F.floor(f("frame_index") / F.lit(chunk))
-    long = cut(frames.where("episode_index is not null and frame_index is not null").groupBy("episode_index").agg(at(F.min).alias("a"), at(F.max).alias("b")).where("a <> b").select("episode_index"))
+    fine = frames.where("episode_index is not null and frame_index is not null")
+    long = cut(fine.groupBy("episode_index").agg(at(F.min).alias("a"), at(F.max).alias("b")).where("a <> b").select("episode_index"))
     several = not long.isEmpty()
-    if several:
-        rows = frame_chunks(attach(frames, long, "episode_index"), columns, chunk, overlap)
-        counts = rows.mapInArrow(_count_steps(columns, width, lower, upper, chunk), _STEPS).groupBy("episode_index", "channel", "step").agg(F.sum("n").alias("n"))
-        median = counts.groupBy("episode_index", "channel").agg(F.percentile("step", F.lit(0.5), F.col("n")).alias("u"))
-        by = F.map_from_entries(F.collect_list(F.struct("channel", "u")))
-        steps = median.groupBy("episode_index").agg(by.alias("m")).select("episode_index", F.transform(F.sequence(F.lit(0), F.lit(2 * width - 1)), lambda c: F.try_element_at("m", c)).alias("_steps"))
-        # the long episodes without any step keep an empty list: their steps are unknown, not those of one chunk
-        frames = attach(frames, cut(long.join(steps, "episode_index", "left").select("episode_index", F.coalesce("_steps", F.array().cast("array<double>")).alias("_steps"))), "episode_index", "left")
-        columns.append("_steps")
     rows = frame_chunks(frames, columns, chunk, overlap)
-    return rows.mapInArrow(_flag(list(fields), list(names), width, lower, upper, chunk, several), _FLAGS)
+    if several:
+        told = _over_chunks(attach(frames, long, "episode_index"), columns, width, lower, upper, chunk, overlap)
+        names_ = [c for c in rows.columns if c not in ("episode_index", "chunk")]
+        plain_ = rows.select("*", F.lit(None).cast("array<double>").alias("_steps"), F.lit(None).cast(told.schema["_across"].dataType).alias("_across"))
+        told = told.select("episode_index", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names_), "chunk", "_steps", "_across")
+        rows = plain_.unionByName(told).repartition("episode_index", "chunk").sortWithinPartitions("episode_index", "chunk", "frame_index", "received_at")
+    return rows.mapInArrow(_flag(columns, list(names), width, lower, upper, chunk, several), _FLAGS)
+
+
+def _over_chunks(frames: DataFrame, columns: list[str], width: int, lower: np.ndarray, upper: np.ndarray, chunk: int, overlap: int) -> DataFrame:
+    """What a chunk of an episode in several chunks can't see: (episode_index, chunk, _steps, _across).
+
+    The exact median of all steps by channel, over counts of equal steps; and the stuck stretches that cross chunk borders, joined over
+    two rows per chunk and channel.
+    """
+    counts = frame_chunks(frames, columns, chunk, overlap).mapInArrow(_count_steps(columns, width, lower, upper, chunk), _STEPS).groupBy("episode_index", "channel", "step").agg(F.sum("n").alias("n"))
+    median = counts.groupBy("episode_index", "channel").agg(F.percentile("step", F.lit(0.5), F.col("n")).alias("u"))
+    by = median.groupBy("episode_index").agg(F.map_from_entries(F.collect_list(F.struct("channel", "u"))).alias("m"))
+    steps = by.select("episode_index", F.transform(F.sequence(F.lit(0), F.lit(2 * width - 1)), lambda c: F.try_element_at("m", c)).alias("_steps"))
+    ends = cut(frame_chunks(frames, columns, chunk).mapInArrow(_ends(columns, width, lower, upper), _ENDS))
+    w = Window.partitionBy("episode_index", "channel").orderBy("first")
+    goes_on = (F.lag("chunk").over(w) != F.col("chunk")) & (F.lag("value").over(w) == F.col("value")) & ~nonfinite(F.col("value"))
+    numbered = ends.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("episode_index", "channel", "_run").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"), F.collect_set("chunk").alias("chunks"))
+    stuck = runs.where((F.size("chunks") > 1) & (F.col("n") >= STUCK_LENGTH) & (F.col("high") - F.col("low") > OTHER_RANGE))
+    by_chunk = stuck.select("episode_index", F.explode("chunks").alias("chunk"), F.struct("channel", "first", "last").alias("x")).groupBy("episode_index", "chunk").agg(F.collect_list("x").alias("_across"))
+    every = ends.select("episode_index", "chunk").distinct()
+    return every.join(steps, "episode_index", "left").join(by_chunk, ["episode_index", "chunk"], "left").select("episode_index", "chunk", "_steps", "_across")
