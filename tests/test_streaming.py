@@ -1,3 +1,6 @@
+import json
+import os
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -36,7 +39,8 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = messages()
     (tmp_path / "in").mkdir()
     for i in range(0, len(rows), 4):  # in order, a few at a time
-        pd.DataFrame(rows[i : i + 4], columns=NAMES).to_json(tmp_path / f"in/{i:03d}.json", orient="records", lines=True, double_precision=15)
+        (tmp_path / f"in/{i:03d}.json").write_text("".join(json.dumps(dict(zip(NAMES, r, strict=True))) + "\n" for r in rows[i : i + 4]))
+            os.utime(tmp_path / f"in/{i:03d}.json", (1e9 + i, 1e9 + i))  # files come in this order
     stream = spark.readStream.schema(sessions.INPUT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     query = sessions.infer_stream(stream, 16, 10.0).writeStream.format("memory").queryName("inferred").option("checkpointLocation", str(tmp_path / "cp")).start()
     query.processAllAvailable()
@@ -54,7 +58,7 @@ def test_no_future_in_the_past(spark):
 def test_windows(spark, tmp_path):
     (tmp_path / "in").mkdir()
     at = pd.to_datetime(["2026-01-01 00:00", "2026-01-01 00:10", "2026-01-01 00:15", "2026-01-01 02:00", "2026-01-02 00:00"])
-    pd.DataFrame({"ts": at.strftime("%Y-%m-%d %H:%M:%S"), "k": "x", "value": 1.0}).to_json(tmp_path / "in/a.json", orient="records", lines=True, double_precision=15)
+    pd.DataFrame({"ts": at.strftime("%Y-%m-%d %H:%M:%S"), "k": "x", "value": 1.0}).to_json(tmp_path / "in/a.json", orient="records", lines=True)
     stream = spark.readStream.schema("ts timestamp, k string, value double").json(str(tmp_path / "in"))
     for name, df in (("tumbling", sessions.windowed_counts(stream, "ts", "1 hour", "1 hour", "k")), ("by_session", sessions.session_counts(stream, "ts", "5 minutes", "1 hour", "k"))):
         q = df.select("k", "n").writeStream.format("memory").outputMode("append").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
