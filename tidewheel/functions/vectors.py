@@ -130,5 +130,15 @@ def sincos(position: Column, n: int, low: float, high: float) -> Column:
     return F.concat(F.array(*(F.sin(position * r) for r in rates)), F.array(*(F.cos(position * r) for r in rates)))
 
 
+def sincos_2d(h: int, w: int, width: int, base: float = 10_000.0) -> list[list[float]]:
+    """Embeddings of the h x w cells of a grid, row by row: sines and cosines of x, then of y."""
+    if width % 4 or width < 8:
+        raise ValueError("width must be a multiple of 4, 8 at least")
+    n = width // 4
+    speed = [base ** -(i / (n - 1)) for i in range(n)]
+    part = lambda p: [math.sin(p * s) for s in speed] + [math.cos(p * s) for s in speed]
+    return [part(x) + part(y) for y in range(h) for x in range(w)]
+
+
 def nonfinite(x: Column) -> Column:
     return F.isnan(x) | (F.abs(x) == F.lit(float("inf")))

@@ -116,3 +116,14 @@ def first_match(rules: Sequence[tuple[Column, str]]) -> Column:
 def checked(value: Column, condition: Column, message: str) -> Column:
     """value, or an error of the whole query where the condition doesn't hold."""
     return F.when(F.coalesce(condition, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)))
+
+
+def paired(a: str, b: str) -> Column:
+    """Whether two columns are both null or both not."""
+    return F.col(f"`{a}`").isNull() == F.col(f"`{b}`").isNull()
+
+
+def is_rgb(image: str) -> Column:
+    """Whether a struct of data, h, w, c holds whole rows of three bytes per pixel."""
+    i = F.col(f"`{image}`")
+    return F.coalesce((i["c"] == 3) & (i["h"] > 0) & (i["w"] > 0) & (F.length(i["data"]) == i["h"] * i["w"] * i["c"]), F.lit(False))

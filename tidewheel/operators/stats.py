@@ -95,6 +95,17 @@ def principal_components(df: DataFrame, vector: Column, width: int, k: int) -> t
     return mean, parts, np.sqrt(np.maximum(values[order], 1e-6)), float(values[order].sum() / max(values.sum(), 1e-300))
 
 
+def require_quantiles(stats: DataFrame) -> DataFrame:
+    """The statistics, or an error of the query where a quantile is missing."""
+    there = F.col("q01").isNotNull() & F.col("q99").isNotNull()
+    return stats.withColumn("q01", F.when(there, F.col("q01")).otherwise(F.raise_error(F.lit("statistics without quantiles"))))
+
+
+def mean_over_batches(metrics: DataFrame, order: str, most: int, *columns: str) -> DataFrame:
+    """Means over the first `most` batches in order: an evaluation that ends early by definition."""
+    return metrics.orderBy(order).limit(most).agg(*(F.avg(c).alias(c) for c in columns))
+
+
 def _literal(rows: np.ndarray) -> Column:
     return F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in rows))
 

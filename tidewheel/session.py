@@ -60,11 +60,16 @@ def exact(df: DataFrame, *names: str) -> DataFrame:
 def attach(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a narrow dimension with one row per key to a fact table.
 
-    The dimension's rows are counted first: up to max_rows it is broadcast; a larger one is copied JOIN_SALTS times and joined on
-    (key, salt), so that a key with a third of all facts is still spread over JOIN_SALTS tasks.
+    The dimension's rows are counted first (one that is computed is kept, so that this costs no second run): up to max_rows it is
+    broadcast; a larger one is copied JOIN_SALTS times and joined on (key, salt), so that a key with a third of all facts is still
+    spread over JOIN_SALTS tasks. The salt is a hash of the fact's plain columns: the same again if a lost task is run again.
     """
+    made = dim._jdf.queryExecution().analyzed().toString()
+    if any(x in made for x in ("Aggregate", "Join", "Window", "MapInArrow")):
+        dim = cut(dim)
     if dim.limit(max_rows + 1).count() <= max_rows:
         return fact.join(F.broadcast(dim), key, how)
-    salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
-    spread = fact.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(JOIN_SALTS)).cast("int"))
-    return spread.join(salted.hint("shuffle_hash") if how == "inner" else salted, [key, "_salt"], how).drop("_salt")
+    salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(JOIN_SALTS - 1).cast("long"))))
+    plain = [F.col(f"`{c}`") for c, kind in fact.dtypes if not kind.startswith(("array", "struct", "map"))]
+    spread = fact.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(JOIN_SALTS).cast("long")))
+    return spread.join(salted, [key, "_salt"], how).drop("_salt")

@@ -91,6 +91,25 @@ def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in keep))
 
 
+def scalar_column(df: DataFrame, name: str, kind: str = "double") -> F.Column:
+    """A scalar column in another type; one of lists, structs or maps raises ValueError."""
+    if isinstance(df.schema[name].dataType, T.ArrayType | T.StructType | T.MapType):
+        raise ValueError(f"{name} is no scalar")
+    return F.col(f"`{name}`").cast(kind)
+
+
+def home_reference(value: str | None) -> list[float] | None:
+    """A home position from JSON text or a file of it: a list, or {"home": list} or {"position": list}."""
+    if not value:
+        return None
+    p = Path(value).expanduser()
+    doc = json.loads(p.read_text() if len(value) < 4096 and p.is_file() else value)
+    doc = doc.get("home", doc.get("position")) if isinstance(doc, dict) else doc
+    if not isinstance(doc, list) or any(isinstance(x, list) for x in doc):
+        raise ValueError("a home position is one list of numbers")
+    return [float(x) for x in doc]
+
+
 def discover_episodes(root: str | Path) -> list[int]:
     """Episode numbers: from meta/episodes.jsonl, else from the data files' names, else 0 to total_episodes - 1."""
     root = Path(root)
