@@ -44,10 +44,10 @@ def check_plan(frames: DataFrame, plans: DataFrame, ranges: DataFrame) -> None:
 
 
 def rewrite(frames: DataFrame, plans: DataFrame) -> DataFrame:
-    """The kept frames with new ep, fi from 0, t from exactly 0 (single precision, as stored) and global index; other columns as they are."""
+    """The kept frames with new ep, fi from 0, t from exactly 0 in the type it had, and global index; other columns as they are."""
     p = plans.select("ep", "start_frame", "end_frame", "first_s", "base", "new_ep")
     kept = attach(frames, p, "ep").where("fi >= start_frame and fi < end_frame")
-    moved = kept.withColumn("fi", F.col("fi") - F.col("start_frame")).withColumn("t", (F.col("t") - F.col("first_s")).cast("float")).withColumn("index", F.col("base") + F.col("fi")).withColumn("ep", F.col("new_ep"))
+    moved = kept.withColumn("fi", F.col("fi") - F.col("start_frame")).withColumn("t", (F.col("t") - F.col("first_s")).cast(frames.schema["t"].dataType)).withColumn("index", F.col("base") + F.col("fi")).withColumn("ep", F.col("new_ep"))
     return moved.drop("start_frame", "end_frame", "first_s", "base", "new_ep")
 
 

@@ -329,7 +329,7 @@ def anomaly_window_rows(spark: SparkSession, d: str) -> DataFrame:
 _PLAN = f"""{_RANGES}, pf as (select f.*, t >= coalesce(start_s, 0) and (end_s is null or t <= end_s) keep from f left join ranges using (ep)),
     pl as (select ep, min(fi) filter (where keep) a, max(fi) filter (where keep) + 1 b, min(t) filter (where keep) s, count(*) n from pf group by 1),
     pb as (select *, coalesce(sum(b - a) over (order by ep rows between unbounded preceding and 1 preceding), 0) base from pl),
-    rw as (select f.ep, event_id, f.fi - a fi, cast(t - s as float) t, cast(base + f.fi - a as bigint) "index" from f join pb using (ep) where f.fi >= a and f.fi < b)"""
+    rw as (select f.ep, event_id, f.fi - a fi, t - s t, cast(base + f.fi - a as bigint) "index" from f join pb using (ep) where f.fi >= a and f.fi < b)"""
 
 
 @query(f"with {FRAMES}, {_PLAN} select ep, a start_frame, b end_frame, b - a new_length, n old_length, cast(base as bigint) base from pb")
