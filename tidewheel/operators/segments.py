@@ -30,15 +30,16 @@ def number_frames(rows: DataFrame, tie: str, bucket_us: int = BUCKET_US) -> Data
     Rows are numbered within (ep, time bucket); the bucket's offset is a running sum over one row per bucket. Rows of null ep are left out;
     null us sort first, with null t.
     """
-    rows = rows.where("ep is not null").withColumn("_b", F.floor(F.col("us") / bucket_us))
+    rows = rows.where("ep is not null").withColumn("_b", F.coalesce(F.floor(F.col("us") / bucket_us), F.lit(-(1 << 62))))
     buckets = rows.groupBy("ep", "_b").agg(F.count("*").alias("_n"), F.min("us").alias("_first"))
     w = Window.partitionBy("ep").orderBy("_b")
     offsets = buckets.select(
         "ep", "_b", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.min("_first").over(Window.partitionBy("ep")).alias("_start")
     )
     inner = rows.withColumn("_k", F.row_number().over(Window.partitionBy("ep", "_b").orderBy("us", tie)))
-    joined = inner.alias("r").join(offsets.alias("o"), (F.col("r.ep") == F.col("o.ep")) & F.col("r._b").eqNullSafe(F.col("o._b")))
-    return joined.select("r.*", (F.col("_before") + F.col("_k") - 1).alias("fi"), ((F.col("r.us") - F.col("_start")) / 1e6).alias("t")).drop("_b", "_k")
+    # numbered and joined on the same partitioning: the rows are shuffled once
+    joined = inner.join(offsets, ["ep", "_b"])
+    return joined.withColumn("fi", F.col("_before") + F.col("_k") - 1).withColumn("t", (F.col("us") - F.col("_start")) / 1e6).drop("_b", "_k", "_before", "_start")
 
 
 def event_frames(events: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:

@@ -13,8 +13,8 @@ from tidewheel.functions.vectors import nonfinite
 from tidewheel.operators.chunks import first_deliveries, frame_chunks, ints, matrix, plain, starts_of, whole_groups
 from tidewheel.session import attach, cut, exact
 
-#: Frame indexes of one chunk of an episode, and those a chunk sees beyond its edges.
-CHUNK, OVERLAP = 65_536, 2_048
+#: Frame indexes of one chunk of an episode, and frames of its neighbours that a chunk sees on either side.
+CHUNK, CONTEXT = 65_536, 64
 #: Kalman filter per channel, in usual steps of that channel: standard deviation of the level's walk and of a reading, and the gate.
 WALK, READING, GATE = 1.0, 0.5, 4.0
 #: After so many withheld updates in a row the filter takes the reading as its new level.
@@ -166,6 +166,21 @@ def _told(block: pa.Table, t: pa.Table, starts: np.ndarray, steps: np.ndarray, c
     return steps, across
 
 
+def _edges(columns: list[str], context: int):  # noqa: ANN202
+    """The first and the last `context` frames of each chunk."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in whole_groups(batches, ["episode_index", "chunk"], 120_000):
+            t = first_deliveries(block).select(columns)
+            starts = starts_of(t, ["episode_index", "chunk"])
+            ends = np.append(starts[1:], t.num_rows)
+            at = np.arange(t.num_rows)
+            near = (at - np.repeat(starts, ends - starts) < context) | (np.repeat(ends, ends - starts) - at <= context)
+            yield from t.filter(pa.array(near)).combine_chunks().to_batches()
+
+    return work
+
+
 def _ends(fields: list[str], width: int, lower: np.ndarray, upper: np.ndarray):  # noqa: ANN202
     """The stretches of equal values at both ends of each chunk, by channel: kind 1 the first, 2 the last, 3 the only one."""
 
@@ -251,7 +266,7 @@ def _count_steps(fields: list[str], width: int, lower: np.ndarray, upper: np.nda
 
 
 def implausible_readings(
-    frames: DataFrame, limits: DataFrame, fields: tuple[str, str] = ("observation.state", "action"), names: tuple[str, str] = ("state", "action"), chunk: int = CHUNK, overlap: int = OVERLAP
+    frames: DataFrame, limits: DataFrame, fields: tuple[str, str] = ("observation.state", "action"), names: tuple[str, str] = ("state", "action"), chunk: int = CHUNK, context: int = CONTEXT
 ) -> DataFrame:
     """One row per reading that cannot be true, with why: impossible (not finite or outside limits), stuck, or spike.
 
@@ -262,10 +277,10 @@ def implausible_readings(
 
     limits has joint_index, lower_rad and upper_rad (7 rows; null or missing: no limit). A frame delivered twice counts once; frames
     whose field is null are left out for that field; null elements count as not finite; rows without episode_index or frame_index are
-    left out. Episodes are cut into chunks of frame indexes that see `overlap` indexes of their neighbours, so one episode may hold any
+    left out. Episodes are cut into chunks of frame indexes that see `context` frames of their neighbours, so one episode may hold any
     part of all rows; the usual step of an episode in several chunks is the exact median over all of them, and stuck stretches over
-    chunk borders are joined. The result is exact but for one case: at a chunk's edge, after more than `overlap` missing frame indexes
-    in a row, the series is taken to begin anew. An empty table gives no row.
+    chunk borders are joined. The result is exact but for one case: where a chunk begins after `context` frames without a usable reading
+    of a joint, that joint's series is taken to begin anew. An empty table gives no row.
     """
     frames = exact(frames, "episode_index", "frame_index", *fields, "received_at")
     known = [r for r in exact(limits, "joint_index", "lower_rad", "upper_rad").where("joint_index is not null").limit(10_001).collect()]
@@ -283,32 +298,46 @@ def implausible_readings(
     fine = frames.where("episode_index is not null and frame_index is not null")
     long = cut(fine.groupBy("episode_index").agg(at(F.min).alias("a"), at(F.max).alias("b")).where("a <> b").select("episode_index"))
     several = not long.isEmpty()
-    rows = frame_chunks(frames, columns, chunk, overlap)
+    rows = frame_chunks(frames, columns, chunk)
     if several:
-        told = _over_chunks(attach(frames, long, "episode_index"), columns, width, lower, upper, chunk, overlap)
-        names_ = [c for c in rows.columns if c not in ("episode_index", "chunk")]
-        plain_ = rows.select("*", F.lit(None).cast("array<double>").alias("_steps"), F.lit(None).cast(told.schema["_across"].dataType).alias("_across"))
-        told = told.select("episode_index", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names_), "chunk", "_steps", "_across")
-        rows = plain_.unionByName(told).repartition("episode_index", "chunk").sortWithinPartitions("episode_index", "chunk", "frame_index", "received_at")
+        extra, told = _over_chunks(attach(frames, long, "episode_index"), columns, width, lower, upper, chunk, context)
+        more = [c for c in rows.columns if c not in ("episode_index", "chunk")]
+        given = rows.unionByName(extra).select("*", F.lit(None).cast("array<double>").alias("_steps"), F.lit(None).cast(told.schema["_across"].dataType).alias("_across"))
+        told = told.select("episode_index", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in more), "chunk", "_steps", "_across")
+        rows = _sorted(given.unionByName(told))
     return rows.mapInArrow(_flag(columns, list(names), width, lower, upper, chunk, several), _FLAGS)
 
 
-def _over_chunks(frames: DataFrame, columns: list[str], width: int, lower: np.ndarray, upper: np.ndarray, chunk: int, overlap: int) -> DataFrame:
-    """What a chunk of an episode in several chunks can't see: (episode_index, chunk, _steps, _across).
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("episode_index", "chunk").sortWithinPartitions("episode_index", "chunk", "frame_index", "received_at")
+
+
+def _over_chunks(frames: DataFrame, columns: list[str], width: int, lower: np.ndarray, upper: np.ndarray, chunk: int, context: int) -> tuple[DataFrame, DataFrame]:
+    """What a chunk of an episode in several chunks can't see by itself: frames of its neighbours, and (episode_index, chunk, _steps, _across).
 
-    The exact median of all steps by channel, over counts of equal steps; and the stuck stretches that cross chunk borders, joined over
-    two rows per chunk and channel.
+    Neighbouring frames come from the first and last `context` ones of each chunk, in order over the episode. Steps are the exact median
+    by channel, over counts of equal steps. Stuck stretches that cross chunk borders are joined over two rows per chunk and channel.
     """
-    counts = frame_chunks(frames, columns, chunk, overlap).mapInArrow(_count_steps(columns, width, lower, upper, chunk), _STEPS).groupBy("episode_index", "channel", "step").agg(F.sum("n").alias("n"))
+    rows = frame_chunks(frames, columns, chunk)
+    edges = cut(rows.mapInArrow(_edges(rows.columns, context), rows.schema))
+    w = Window.partitionBy("episode_index").orderBy("frame_index")
+    whole = F.struct(*(c for c in edges.columns if c not in ("episode_index", "chunk")))
+    other = lambda f: F.coalesce(f("chunk").over(w) != F.col("chunk"), F.lit(False))
+    none = F.array().cast(edges.select(F.array(whole).alias("x")).schema["x"].dataType)
+    before = F.when(other(F.lag), F.collect_list(whole).over(w.rowsBetween(-context, -1))).otherwise(none)
+    after = F.when(other(F.lead), F.collect_list(whole).over(w.rowsBetween(1, context))).otherwise(none)
+    seen = edges.select("episode_index", "chunk", F.concat(before, after).alias("x")).where(F.size("x") > 0)
+    extra = seen.select("episode_index", "chunk", F.explode("x").alias("x")).select("episode_index", "x.*", "chunk").select(*rows.columns)
+    counts = _sorted(rows.unionByName(extra)).mapInArrow(_count_steps(columns, width, lower, upper, chunk), _STEPS).groupBy("episode_index", "channel", "step").agg(F.sum("n").alias("n"))
     median = counts.groupBy("episode_index", "channel").agg(F.percentile("step", F.lit(0.5), F.col("n")).alias("u"))
     by = median.groupBy("episode_index").agg(F.map_from_entries(F.collect_list(F.struct("channel", "u"))).alias("m"))
     steps = by.select("episode_index", F.transform(F.sequence(F.lit(0), F.lit(2 * width - 1)), lambda c: F.try_element_at("m", c)).alias("_steps"))
-    ends = cut(frame_chunks(frames, columns, chunk).mapInArrow(_ends(columns, width, lower, upper), _ENDS))
-    w = Window.partitionBy("episode_index", "channel").orderBy("first")
-    goes_on = (F.lag("chunk").over(w) != F.col("chunk")) & (F.lag("value").over(w) == F.col("value")) & ~nonfinite(F.col("value"))
-    numbered = ends.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = cut(rows.mapInArrow(_ends(columns, width, lower, upper), _ENDS))
+    v = Window.partitionBy("episode_index", "channel").orderBy("first")
+    goes_on = (F.lag("chunk").over(v) != F.col("chunk")) & (F.lag("value").over(v) == F.col("value")) & ~nonfinite(F.col("value"))
+    numbered = ends.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(v.rowsBetween(Window.unboundedPreceding, 0)))
     runs = numbered.groupBy("episode_index", "channel", "_run").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"), F.collect_set("chunk").alias("chunks"))
     stuck = runs.where((F.size("chunks") > 1) & (F.col("n") >= STUCK_LENGTH) & (F.col("high") - F.col("low") > OTHER_RANGE))
     by_chunk = stuck.select("episode_index", F.explode("chunks").alias("chunk"), F.struct("channel", "first", "last").alias("x")).groupBy("episode_index", "chunk").agg(F.collect_list("x").alias("_across"))
-    every = ends.select("episode_index", "chunk").distinct()
-    return every.join(steps, "episode_index", "left").join(by_chunk, ["episode_index", "chunk"], "left").select("episode_index", "chunk", "_steps", "_across")
+    every = edges.select("episode_index", "chunk").distinct()
+    return extra, every.join(steps, "episode_index", "left").join(by_chunk, ["episode_index", "chunk"], "left").select("episode_index", "chunk", "_steps", "_across")
