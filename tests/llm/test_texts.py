@@ -42,7 +42,7 @@ def brute_leaks(docs, items):
                             wrong = 0
                             for b in range(a, len(same)):
                                 wrong += not same[b]
-                                if b - a + 1 >= least and same[b] and wrong * 8 <= b - a + 1:
+                                if b - a + 1 - wrong >= least and same[b] and wrong * 8 <= b - a + 1:
                                     out.add((doc, item))
     return out
 
@@ -108,7 +108,7 @@ def test_leak_edges(spark):
     items = spark.createDataFrame([(5, "en", text)], ITEMS)
     got = lambda t: leaks.leaks(spark.createDataFrame([(1, t)], DOCS), items).count()
     assert got(" ".join(WORDS[3:18])) == 1 and got(" ".join(WORDS[3:17])) == 0
-    assert got(" ".join(WORDS[3:10] + ["zzz"] + WORDS[11:18])) == 1 and got(" ".join(WORDS[3:8] + ["zzz"] + WORDS[9:12] + ["yyy"] + WORDS[13:18])) == 0
+    assert got(" ".join(WORDS[3:10] + ["zzz"] + WORDS[11:18])) == 0 and got(" ".join(WORDS[3:10] + ["zzz"] + WORDS[11:19])) == 1 and got(" ".join(WORDS[3:8] + ["zzz"] + WORDS[9:12] + ["yyy"] + WORDS[13:18])) == 0
     assert leaks.leaks(spark.createDataFrame([], DOCS), items).count() == 0
     assert leaks.leaks(spark.createDataFrame([(1, text)], DOCS), items.limit(0)).count() == 0
 
@@ -128,7 +128,7 @@ def test_suffix_search(text, test):
 @given(st.lists(st.booleans(), max_size=60))
 def test_longest_passage(same):
     n = len(same)
-    want = max((b - a for a in range(n) for b in range(a + 15, n + 1) if same[a] and same[b - 1] and 8 * same[a:b].count(False) <= b - a), default=0)
+    want = max((b - a for a in range(n) for b in range(a + 15, n + 1) if same[a] and same[b - 1] and 8 * same[a:b].count(False) <= b - a and same[a:b].count(True) >= 15), default=0)
     assert leaks.longest_passage(np.array([same], bool), 15)[0][0] == want
 
 

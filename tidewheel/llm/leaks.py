@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 
 from tidewheel.session import exact
 
-#: Units (words; characters for items in Chinese) that make a leak, and of how many one may be changed.
+#: Units of an item (words; characters if it is in Chinese) that make a leak, and of how many units of the passage one may be changed.
 LEAST_WORDS, LEAST_CHARS, CHANGED = 15, 30, 8
-#: Longest verbatim stretch that every tolerated passage has at least: with one change in eight, 16 units fall into 3 stretches of 14.
+#: Longest verbatim stretch that every tolerated passage has at least: with two changes in 17 units, 15 equal ones fall into 3 stretches.
 SEED = 5
 #: A sentence in at least so many items is a stock sentence.
 STOCK_ITEMS = 3
@@ -193,7 +193,7 @@ def matches(items: Items, a: np.ndarray, begin: np.ndarray, least: int) -> Itera
             s, d = shift[at : min(hi, at + 50_000)], document[at : min(hi, at + 50_000)]
             place = s[:, None] + c
             same = (pad[place + longest] == unit) & (place >= begin[d][:, None]) & (place < begin[d + 1][:, None])
-            maybe = np.flatnonzero(same.sum(1) >= least - least // CHANGED)
+            maybe = np.flatnonzero(same.sum(1) >= least)
             if not len(maybe):
                 continue
             length, begins = longest_passage(same[maybe], least)
@@ -203,7 +203,7 @@ def matches(items: Items, a: np.ndarray, begin: np.ndarray, least: int) -> Itera
 
 
 def longest_passage(same: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the longest stretch of at least `least` units that begins and ends with equal ones and has at most one in CHANGED different; 0 without one."""
+    """Per row the longest stretch that begins and ends with equal units, has `least` of them or more, and at most one unit in CHANGED different; 0 without one."""
     rows, n = same.shape
     wrong = np.concatenate([np.zeros((rows, 1), np.int64), np.cumsum(~same, axis=1)], axis=1)
     best, where = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
@@ -212,7 +212,7 @@ def longest_passage(same: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
         if not len(open_):
             break
         bad = wrong[open_, length:] - wrong[open_, : n - length + 1]
-        ok = (bad * CHANGED <= length) & same[open_, : n - length + 1] & same[open_, length - 1 :]
+        ok = (bad * CHANGED <= length) & (length - bad >= least) & same[open_, : n - length + 1] & same[open_, length - 1 :]
         hit = ok.any(1)
         best[open_[hit]] = length
         where[open_[hit]] = ok[hit].argmax(1)
@@ -268,8 +268,8 @@ def leaks(documents: DataFrame, items: DataFrame, shard_units: int = SHARD_UNITS
 
     Both texts are reduced to plain units: words, or characters for items in Chinese. Each task packs its whole documents into shards,
     sorts the shard's suffixes (a suffix array over the units that the items know) and binary-searches every suffix of every item in
-    it. Around each verbatim match of SEED units the item is laid beside the document; a leak is a passage of LEAST_WORDS or LEAST_CHARS
-    units that begins and ends alike and has at most one changed unit in CHANGED. Sentences of STOCK_ITEMS or more items don't count.
+    it. Around each verbatim match of SEED units the item is laid beside the document; a leak is a passage that holds LEAST_WORDS
+    or LEAST_CHARS units of the item, begins and ends with one, and has at most one changed unit in CHANGED among them. Sentences of STOCK_ITEMS or more items don't count.
 
     Items are searched in blocks of items_per_block, each sent to all tasks once, so the search is over all documents in place and
     nothing is shuffled; copies of a text and very long texts cost their own length. Null or empty texts, null ids and items shorter than
