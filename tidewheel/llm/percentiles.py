@@ -19,10 +19,10 @@ PERCENTILES = (0.01, 0.05, 0.5, 0.95, 0.99)
 WAYS = 16
 CHUNK = 32_768
 GROUP = ["robot_id", "field", "joint_index"]
-_COUNTS = "day date, robot_id string, field string, joint_index long, cell double, n long"
+_COUNTS = "day date, robot_id string, channel int, cell double, n long"
 
 
-def _count(fields: list[str], names: list[str], width: int, resolution: float):  # noqa: ANN202
+def _count(fields: list[str], width: int, resolution: float):  # noqa: ANN202
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in whole_groups(batches, ["episode_index", "chunk"], 200_000):
             t = first_deliveries(block)
@@ -34,7 +34,7 @@ def _count(fields: list[str], names: list[str], width: int, resolution: float):
             robot = robot.chunk(0) if isinstance(robot, pa.ChunkedArray) else robot
             source = np.unique(np.column_stack([day, robot.indices.to_numpy()]), axis=0, return_inverse=True)
             keys, which = source[0], source[1].ravel()
-            for f, name in zip(fields, names, strict=True):
+            for i, f in enumerate(fields):
                 x, _ = matrix(t, plain(f), width)
                 for j in range(width):
                     at = np.flatnonzero(np.isfinite(x[:, j]))
@@ -48,8 +48,8 @@ def _count(fields: list[str], names: list[str], width: int, resolution: float):
                         k = keys[w[start]]
                         yield pa.RecordBatch.from_pydict(
                             {
-                                "day": pa.array(k[:, 0], pa.int32()).cast(pa.date32()), "robot_id": robot.dictionary.take(pa.array(k[:, 1])), "field": pa.array([name] * len(start)),
-                                "joint_index": np.full(len(start), j, np.int64), "cell": c[start], "n": np.diff(np.append(start, len(c))),
+                                "day": pa.array(k[:, 0], pa.int32()).cast(pa.date32()), "robot_id": robot.dictionary.take(pa.array(k[:, 1])),
+                                "channel": np.full(len(start), i * width + j, np.int32), "cell": c[start], "n": np.diff(np.append(start, len(c))),
                             }
                         )
 
@@ -69,7 +69,9 @@ def day_counts(
     frames, episodes = exact(frames, "episode_index", "frame_index", *fields, "received_at"), exact(episodes, "episode_index", "robot_id")
     robots = episodes.where("episode_index is not null and robot_id is not null").groupBy("episode_index").agg(F.min("robot_id").alias("robot_id"))
     rows = frame_chunks(attach(frames, robots, "episode_index"), [*fields, "robot_id"], CHUNK)
-    return merge_counts(rows.mapInArrow(_count(list(fields), list(names), width, resolution), _COUNTS))
+    counts = rows.mapInArrow(_count(list(fields), width, resolution), _COUNTS).groupBy("day", "robot_id", "channel", "cell").agg(F.sum("n").alias("n"))
+    name = F.element_at(F.array(*(F.lit(x) for x in names)), F.floor(F.col("channel") / width).cast("int") + 1)
+    return counts.select("day", "robot_id", name.alias("field"), (F.col("channel") % width).cast("long").alias("joint_index"), "cell", "n")
 
 
 def merge_counts(counts: DataFrame) -> DataFrame:
