@@ -94,7 +94,7 @@ _VALUES = """
     b as (select episode_index e, min(robot_id) robot_id from episodes where robot_id is not null group by 1),
     x as (select e, r, 'state' field, cast(j as bigint) joint_index, cast(s[j + 1] as double) v from a, range(7) t(j)
         union all select e, r, 'action', cast(j as bigint), cast(a[j + 1] as double) from a, range(7) t(j)),
-    y as (select cast(r as date) "day", robot_id, field, joint_index, v from x join b on x.e = b.e where v is not null and isfinite(v) and r is not null)"""
+    y as (select cast(r at time zone 'UTC' as date) "day", robot_id, field, joint_index, v from x join b on x.e = b.e where v is not null and isfinite(v) and r is not null)"""
 
 SQL: dict[str, str] = {
     "p1_found": """
