@@ -141,6 +141,9 @@ def onto_grid(frames: DataFrame, episodes: DataFrame, field: str = "observation.
     alternation. A missing cell is `filled` if its row has SUPPORT readings and one within REACH points on both sides; otherwise its
     element is null and the point is `marked`.
 
+    The windows are written once, as a Parquet table in the checkpoint folder, and read by each alternation; like checkpoints they stay
+    there until that folder is cleaned.
+
     Frames with null or not-finite timestamp, null field or null episode_index take no part (but any timestamp counts for the last one);
     null elements are missing cells; episodes without a row in episodes, without a positive fps or without any timestamp give no row.
     Repeated rows change nothing; of several fps of one episode the smallest counts. Empty tables give no row.
