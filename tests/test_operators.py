@@ -117,6 +117,17 @@ def test_numbering_and_running(spark):
             assert np.array_equal(got[c].to_numpy(float), pdf[c].to_numpy(float), equal_nan=True), c
 
 
+def test_micros_without_zone(spark):
+    df = spark.sql("select timestamp_ntz'2024-03-10 02:30:00.000001' a, timestamp_ntz'1969-12-31 23:59:59.5' b")
+    keep = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert df.select(segments.micros("a"), segments.micros("b")).first()[:] == (1_710_037_800_000_001, -500_000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", keep)
+
+
 def test_small_segments_same(spark):
     f = segments.number_frames(made(spark), "id").cache()
     for build in (

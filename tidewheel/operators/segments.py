@@ -21,7 +21,8 @@ RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+    day, second = f"unix_date(cast({ts} as date))", f"cast(extract(second from {ts}) * 1000000 as bigint)"
+    return F.expr(f"{day} * 86400000000L + hour({ts}) * 3600000000L + minute({ts}) * 60000000L + {second}")
 
 
 def number_frames(rows: DataFrame, tie: str, bucket_us: int = BUCKET_US) -> DataFrame:
