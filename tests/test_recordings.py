@@ -99,6 +99,30 @@ def test_spike_kinds(spark):
     assert found(changed(lambda v: 0.5, *range(30, 44))) == {}
 
 
+def of_first_state(spark, states, limit=2.0):
+    """Flags (impossible, stuck, spike) by frame, of a series of states (None: the field is null), while the action moves by 0.02 a frame."""
+    rows = [(i / 30, i, 1, None if v is None else [v] * 7, [-0.5 + 0.02 * i] * 7, T0) for i, v in enumerate(states)]
+    limits = spark.createDataFrame([(j, "", -limit, limit) for j in range(7)], LIMITS)
+    got = spikes.implausible_readings(spark.createDataFrame(rows, FRAMES), limits).where("joint_index = 0 and field = 'state'")
+    return {r["frame_index"]: (r["impossible"], r["stuck"], r["spike"]) for r in got.collect()}
+
+
+@pytest.mark.parametrize("nulls", [{38}, {39}, {36, 42}, set(range(31, 70, 2)), set(range(33, 70, 4))])
+def test_stuck_between_null_frames(spark, nulls):
+    """Frames whose field is null do not end a stretch, nor hide it from the filter."""
+    readings = [i for i in range(30, 90) if i not in nulls][:15]
+    states = [None if i in nulls else 0.005 if i in readings else 0.001 * i for i in range(100)]
+    assert of_first_state(spark, states) == {i: (False, True, False) for i in readings}
+    states[readings[7]] = 0.006
+    assert of_first_state(spark, states) == {}
+
+
+def test_stuck_outside_limits(spark):
+    """A stretch of impossible readings is stuck as well."""
+    states = [7.0 if 30 <= i < 45 else 0.001 * i for i in range(60)]
+    assert of_first_state(spark, states) == {i: (True, True, False) for i in range(30, 45)}
+
+
 def test_kalman_gate():
     x = np.cumsum(np.full((200, 1), 0.01), axis=0)
     x[50] += 1.0

@@ -58,7 +58,8 @@ def kalman(x: np.ndarray, ok: np.ndarray, starts: np.ndarray, scale: np.ndarray)
     """Local-level filter over all groups and channels at once, stepping through time.
 
     Returns which readings have a standardised innovation above the gate, and at which the innovations of the last QUIET readings have
-    all but vanished. Updates of flagged readings are withheld, up to WITHHELD in a row; readings that are not ok only widen the variance.
+    all but vanished. Updates of flagged readings are withheld, up to WITHHELD in a row; readings that are not ok only widen the variance
+    and do not end a calm.
     """
     n, channels = x.shape
     length = np.diff(np.append(starts, n))
@@ -86,7 +87,7 @@ def kalman(x: np.ndarray, ok: np.ndarray, starts: np.ndarray, scale: np.ndarray)
             level[:m] = np.where(restart, v, np.where(take, level[:m] + gain * (v - level[:m]), level[:m]))
             var[:m] = np.where(restart, noise[:m], np.where(take, (1 - gain) * ahead, ahead))
         held[:m] = np.where(use, np.where(out & ~take, held[:m] + 1, 0), held[:m])
-        calm[:m] = np.where(use & ~fresh & (innovation < small[:m]), calm[:m] + 1, 0)
+        calm[:m] = np.where(use, np.where(~fresh & (innovation < small[:m]), calm[:m] + 1, 0), calm[:m])
         quiet[rows] = calm[:m] >= QUIET
     return flagged, quiet
 
@@ -229,7 +230,7 @@ def _flag(fields: list[str], names: list[str], width: int, lower: np.ndarray, up
                 here = np.flatnonzero(there[:, c])
                 v, other = x[here, c], x[here, (1 - f) * width + j]
                 impossible = ~ok[here, c]
-                stuck = _stuck(v, other, group[here], quiet[here, c], fi[here], chunk, across[c])
+                stuck = _stuck(v, other, group[here], quiet[here, c] | impossible, fi[here], chunk, across[c])  # the filter sees no impossible ones
                 spike = np.zeros(len(here), bool)
                 fine = np.flatnonzero(~impossible)
                 step = steps[group[here[fine]], c]
