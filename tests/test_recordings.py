@@ -117,6 +117,37 @@ def test_stuck_between_null_frames(spark, nulls):
     assert of_first_state(spark, states) == {}
 
 
+@pytest.mark.parametrize("bad", [None, 7.0])
+@pytest.mark.parametrize(("every", "height"), [(7, 10.5), (10, 12.0), (20, 17.0)])
+def test_spikes_behind_unusable_readings(spark, bad, every, height):
+    """Null frames and impossible readings before and after a spike do not widen the gate."""
+    states = [0.01 * (i // every % 2) if i % every == 0 else bad for i in range(20 * every)]
+    at = 10 * every
+    states[at] = 0.01 + 0.01 * height
+    assert [i for i, x in of_first_state(spark, states).items() if x[2]] == [at]
+    states[at] = 0.01 + 0.01 * 9.5
+    assert not [i for i, x in of_first_state(spark, states).items() if x[2]]
+
+
+def test_filter_points_at_every_case(spark):
+    """Rough random series: every spike has a candidate near it and every stuck stretch a quiet reading, whatever is unusable between them."""
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        x = np.column_stack([np.cumsum(rng.choice([0.0, 1.0, -1.0, 3.0, -6.0], 600)), *rng.choice([0.0, 1.0], (2, 600))])
+        x += rng.choice([0.0, 11.2, -11.2, 40.0], x.shape, p=[0.9, 0.04, 0.04, 0.02])
+        x[200:217] = x[200]
+        ok = rng.random(x.shape) > rng.choice([0.0, 0.5, 0.95])
+        starts, group = np.array([0]), np.zeros(600, np.int64)
+        step = spikes.usual_steps(x, ok, group, starts)
+        flagged, quiet = spikes.kalman(x, ok, starts, step)
+        for c in range(3):
+            at = np.flatnonzero(ok[:, c])
+            v, g, u = x[at, c], group[at], np.full(len(at), step[0, c])
+            assert (spikes._spikes(v, g, flagged[at, c], u) == spikes._spikes(v, g, np.ones(len(at), bool), u)).all()
+            begin, length = spikes._stretches(v, g)
+            assert all(quiet[at[i : i + k], c].any() for i, k in zip(begin, length, strict=True) if k >= spikes.STUCK_LENGTH)
+
+
 def test_stuck_outside_limits(spark):
     """A stretch of impossible readings is stuck as well."""
     states = [7.0 if 30 <= i < 45 else 0.001 * i for i in range(60)]

@@ -58,8 +58,8 @@ def kalman(x: np.ndarray, ok: np.ndarray, starts: np.ndarray, scale: np.ndarray)
     """Local-level filter over all groups and channels at once, stepping through time.
 
     Returns which readings have a standardised innovation above the gate, and at which the innovations of the last QUIET readings have
-    all but vanished. Updates of flagged readings are withheld, up to WITHHELD in a row; readings that are not ok only widen the variance
-    and do not end a calm.
+    all but vanished. Updates of flagged readings are withheld, up to WITHHELD in a row. Readings that are not ok change nothing: the walk
+    goes on per ok reading, so that after one that was taken the gate is under 5 usual steps, whatever lies between.
     """
     n, channels = x.shape
     length = np.diff(np.append(starts, n))
@@ -85,7 +85,7 @@ def kalman(x: np.ndarray, ok: np.ndarray, starts: np.ndarray, scale: np.ndarray)
         with np.errstate(invalid="ignore"):
             gain = np.where(restart, 1.0, ahead / total)
             level[:m] = np.where(restart, v, np.where(take, level[:m] + gain * (v - level[:m]), level[:m]))
-            var[:m] = np.where(restart, noise[:m], np.where(take, (1 - gain) * ahead, ahead))
+            var[:m] = np.where(restart, noise[:m], np.where(take, (1 - gain) * ahead, np.where(use, ahead, var[:m])))
         held[:m] = np.where(use, np.where(out & ~take, held[:m] + 1, 0), held[:m])
         calm[:m] = np.where(use, np.where(~fresh & (innovation < small[:m]), calm[:m] + 1, 0), calm[:m])
         quiet[rows] = calm[:m] >= QUIET
