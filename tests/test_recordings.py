@@ -211,6 +211,15 @@ def test_grid_keeps_and_fills(spark):
     assert all(got[0, k]["status"] == "marked" and set(got[0, k]["state"]) == {None} for k in range(115, 135))
 
 
+def test_grid_holes_at_window_edges(spark):
+    """A hole is filled in the same cells wherever it lies in a window."""
+    hole = 14
+    rows = [(k / 30, k, e, [0.001 * k] * 7, None, T0) for e in range(grid.CORE) for k in range(160) if not 64 + e <= k < 64 + e + hole]
+    out = grid.onto_grid(spark.createDataFrame(rows, FRAMES), spark.createDataFrame([(e, 30) for e in range(grid.CORE)], EPISODES))
+    got = {(r["episode_index"], r["grid_index"] - 64 - r["episode_index"]) for r in out.where("status = 'filled'").collect()}
+    assert got == {(e, i) for e in range(grid.CORE) for i in range(hole) if i + 1 <= grid.REACH and hole - i <= grid.REACH}
+
+
 def test_grid_beats_last_value(spark):
     """On the recorded frames: cells held out beforehand are filled better than by the reading before."""
     con = duck("/root/testdata/sf0.01")

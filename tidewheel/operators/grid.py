@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from tidewheel.operators.chunks import floats, ints, matrix, starts_of, whole_groups
 from tidewheel.session import attach, ensure_checkpoint_dir, exact
 
-#: Grid points that a window hands out, and those it sees on either side.
-CORE, MARGIN = 32, 8
-WIDE = CORE + 2 * MARGIN
 #: Rank of the factorisation, weight of its penalty, and alternations.
 RANK, PENALTY, ROUNDS = 6, 1e-3, 4
 #: Readings that a row of the matrix needs in its window, and how near one must be on each side of a filled cell.
 SUPPORT, REACH = RANK + 2, 12
+#: Grid points that a window hands out, and those it sees on either side: all in reach of them.
+CORE, MARGIN = 32, REACH
+WIDE = CORE + 2 * MARGIN
 
 _WINDOW = "episode_index long, block long, fps int, points long, seen array<boolean>, cells array<float>"
 _GRID = "episode_index long, grid_index long, time_s double, state array<float>, status string"
