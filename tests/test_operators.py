@@ -148,7 +148,7 @@ def test_attach_shuffled(spark):
     fact = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
     dim = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     for how in ("inner", "left"):
-        a, b = (sorted(map(str, attach(fact, dim, "k", how, n).select("k", "id", "v").collect())) for n in (100, 1))
+        a, b = (sorted(map(str, attach(fact, dim, "k", how, n).select("k", "id", "v").collect())) for n in (1 << 20, 1))
         assert a == b
 
 

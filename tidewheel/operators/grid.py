@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.operators.chunks import floats, ints, matrix, starts_of, whole_groups
-from tidewheel.session import attach, ensure_checkpoint_dir, exact
+from tidewheel.session import attach, exact, keep, partitions
 
-#: Rank of the factorisation, weight of its penalty, and alternations.
-RANK, PENALTY, ROUNDS = 6, 1e-3, 4
+#: Rank of the factorisation, and alternations.
+RANK, ROUNDS = 16, 3
 #: Readings that a row of the matrix needs in its window, and how near one must be on each side of a filled cell.
-SUPPORT, REACH = RANK + 2, 12
+SUPPORT, REACH = 8, 12
 #: Grid points that a window hands out, and those it sees on either side: all in reach of them.
-CORE, MARGIN = 32, REACH
+CORE, MARGIN = 24, REACH
 WIDE = CORE + 2 * MARGIN
+#: A reading that stands out from those up to BESIDE before and after it by more than so many usual steps of its row takes no part in the
+#: fit; others are weighed down as their residual grows beyond so many times what is common.
+BESIDE, OUTLYING, COMMON, REWEIGHTED = 3, 10.0, 4.0, 2
+#: Noise of a reading, as a share of its row's variance, in the first alternation; later ones measure it.
+FIRST_NOISE = 1e-3
+#: Residuals are counted by their binary logarithm, in steps of an eighth.
+_LOG_LEAST, _LOG_BINS = -60, 800
+#: Windows worked on at once, and blocks of an episode's grid made from one row.
+_SLICE, _BLOCKS = 1_000, 4_096
 
 _WINDOW = "episode_index long, block long, fps int, points long, seen array<boolean>, cells array<float>"
 _GRID = "episode_index long, grid_index long, time_s double, state array<float>, status string"
@@ -61,60 +71,152 @@ def _windows(width: int):  # noqa: ANN202
     return work
 
 
-def _cells(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (window x element) of WIDE cells, missing ones 0, and which are finite readings."""
-    x = batch.column("cells").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows * width, WIDE)
-    ok = np.isfinite(x)
-    return np.where(ok, x, 0.0), ok
+@dataclass
+class Model:
+    """What is known of the cells of a row: basis @ factors, with the factors' variances and the variance of a reading's noise (None: not yet)."""
 
+    basis: np.ndarray
+    variance: np.ndarray
+    noise: float | None = None
 
-def _sources(x: np.ndarray, ok: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """The half step for the sources: each row's factors by penalised least squares over its own readings."""
-    r = basis.shape[1]
-    products = (basis[:, :, None] * basis[:, None, :]).reshape(WIDE, r * r)
-    left = (ok.astype(np.float64) @ products).reshape(-1, r, r) + PENALTY * np.eye(r)
-    return np.linalg.solve(left, (x @ basis)[:, :, None])[:, :, 0]
 
+@dataclass
+class Cells:
+    """Rows (window x element) of WIDE cells, centred and scaled by row; which are finite readings, and which of them take part in the fit."""
 
-def _times(width: int, basis: np.ndarray):  # noqa: ANN202
-    """The half step for the times: this partition's share of the normal equations of each grid column."""
+    y: np.ndarray
+    ok: np.ndarray
+    used: np.ndarray
+    middle: np.ndarray
+    scale: np.ndarray
+
+
+def outlying(x: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Which readings lie above, or below, one of the BESIDE readings before them and one after them by more than OUTLYING usual steps.
+
+    The first and the last reading of a row must lie so far from all BESIDE readings next to them. The usual step of a row is the median
+    of its non-zero changes; a row without any has no such reading.
+    """
+    n = ok.sum(1)
+    order = np.argsort(~ok, axis=1, kind="stable")
+    v = np.take_along_axis(np.where(ok, x, np.nan), order, 1)
+    steps = np.abs(np.diff(v, axis=1))
+    steps[~(steps > 0)] = np.inf
+    steps.sort(axis=1)
+    moved = np.isfinite(steps).sum(1)
+    usual = np.where(moved > 0, np.take_along_axis(steps, np.maximum(moved - 1, 0)[:, None] // 2, 1)[:, 0], np.inf)
+    beside = np.pad(v, ((0, 0), (BESIDE, BESIDE)), constant_values=np.nan)
+    wide = v.shape[1]
+    side = lambda f, sign: functools.reduce(f, (beside[:, BESIDE + sign * j : BESIDE + sign * j + wide] for j in range(1, BESIDE + 1)))
+    least, most = [side(np.fmin, -1), side(np.fmin, 1)], [side(np.fmax, -1), side(np.fmax, 1)]
+    for x in range(2):  # the first and the last reading are held against all on the one side they have
+        lone = np.isnan(least[x])
+        least[x], most[x] = np.where(lone, most[1 - x], least[x]), np.where(lone, least[1 - x], most[x])
+    above, below = np.fmin(v - least[0], v - least[1]), np.fmin(most[0] - v, most[1] - v)
+    above, below = (np.where(np.isnan(d), -np.inf, d) for d in (above, below))
+    bad = (np.fmax(above, below) > OUTLYING * usual[:, None]) & (np.arange(wide) < n[:, None])
+    out = np.zeros_like(ok)
+    np.put_along_axis(out, order, bad, 1)
+    return out
+
+
+def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, Cells]]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, _SLICE):
+            batch = whole.slice(at, _SLICE)
+            x = batch.column("cells").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows * width, WIDE)
+            ok = np.isfinite(x)
+            used = ok & ~outlying(x, ok)
+            n = used.sum(1)
+            sorted_ = np.sort(np.where(used, x, np.inf), axis=1)
+            pick = lambda k: np.take_along_axis(sorted_, k[:, None], 1)[:, 0]  # noqa: B023, E731
+            middle = np.where(n > 0, (pick(np.maximum(n - 1, 0) // 2) + pick(np.minimum(n // 2, WIDE - 1))) / 2, 0.0)
+            y = np.where(ok, x - middle[:, None], 0.0)
+            spread = np.sqrt((y * y * used).sum(1) / np.maximum(n, 1))
+            scale = np.where(spread > 0, spread, 1.0)
+            yield batch, Cells(y / scale[:, None], ok, used, middle, scale)
+
+
+def _noise(c: Cells, m: Model) -> np.ndarray:
+    return np.full(len(c.scale), FIRST_NOISE) if m.noise is None else m.noise / c.scale**2
+
+
+def _sources(c: Cells, weight: np.ndarray, m: Model) -> np.ndarray:
+    """The half step for the sources: each row's factors by weighted least squares over its own readings, drawn to 0 as noise is to variance."""
+    r = m.basis.shape[1]
+    products = (m.basis[:, :, None] * m.basis[:, None, :]).reshape(WIDE, r * r).astype(np.float32)
+    floor = np.maximum(m.variance, 1e-9 * max(m.variance.max(), 1e-9))
+    left = (weight.astype(np.float32) @ products).reshape(-1, r, r) + np.minimum(_noise(c, m), 1e12)[:, None, None] * np.diag(1 / floor) + 1e-6 * np.eye(r)
+    return np.linalg.solve(left, ((weight * c.y) @ m.basis)[:, :, None])[:, :, 0]
+
+
+def _weights(c: Cells, u: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the readings by their residuals, 0 for those far off, and the residuals."""
+    residual = np.abs(c.y - u @ m.basis.T)
+    n = c.used.sum(1)
+    common = np.take_along_axis(np.sort(np.where(c.used, residual, np.inf), axis=1), np.maximum(n - 1, 0)[:, None] // 2, 1)[:, 0]
+    common = 1.4826 * np.where(n > 0, common, 0.0) + np.sqrt(_noise(c, m) if m.noise is not None else 0.0) + 1e-6
+    weight = np.where(c.ok, 1 / (1 + (residual / (COMMON * common[:, None])) ** 2) ** 2, 0.0)
+    return np.where(weight < 0.05, 0.0, weight), residual * c.scale[:, None]
+
+
+def _times(width: int, m: Model):  # noqa: ANN202
+    """The half step for the times: this partition's share of the normal equations of each grid column, of the factors' moments and of the residuals' counts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = basis.shape[1]
-        total = np.zeros((WIDE, r * r + r))
-        for batch in batches:
-            if batch.num_rows:
-                x, ok = _cells(batch, width)
-                rows = ok.sum(1) >= SUPPORT
-                x, ok = x[rows], ok[rows]
-                u = _sources(x, ok, basis)
-                total[:, : r * r] += ok.astype(np.float64).T @ (u[:, :, None] * u[:, None, :]).reshape(len(u), r * r)
-                total[:, r * r :] += x.T @ u
-        yield pa.RecordBatch.from_pydict({"cell": np.arange(total.size), "value": total.ravel()})
+        r = m.basis.shape[1]
+        left, right, moments, bins = np.zeros((WIDE, r * r)), np.zeros((WIDE, r)), np.zeros((r, r)), np.zeros(_LOG_BINS)
+        n = 0
+        for _, c in _slices(batches, width):
+            fit = c.used.sum(1) >= SUPPORT
+            c = Cells(c.y[fit], c.ok[fit], c.used[fit], c.middle[fit], c.scale[fit])
+            u = _sources(c, c.used, m)
+            weight, residual = _weights(c, u, m)
+            trusted = (u / (1e-3 + _noise(c, m))[:, None]).astype(np.float32)
+            left += weight.T.astype(np.float32) @ (trusted[:, :, None] * u.astype(np.float32)[:, None, :]).reshape(len(u), r * r)
+            right += (weight * c.y).T @ trusted
+            moments += u.T @ u
+            n += len(u)
+            some = residual[(weight > 0) & (residual > 0)]
+            bins += np.bincount(np.clip(np.floor(8 * np.log2(some)).astype(np.int64) - 8 * _LOG_LEAST, 0, _LOG_BINS - 1), minlength=_LOG_BINS)
+        total = np.concatenate([left.ravel(), right.ravel(), moments.ravel(), bins, [n]])
+        yield pa.RecordBatch.from_pydict({"cell": np.arange(total.size), "value": total})
 
     return work
 
 
-def _fill(width: int, basis: np.ndarray):  # noqa: ANN202
+def _next_model(total: np.ndarray, r: int) -> Model:
+    """The times' half step solved; the basis is made orthogonal, its vectors in the order of the factors' variances."""
+    left, right, moments, bins, n = np.split(total, np.cumsum([WIDE * r * r, WIDE * r, r * r, _LOG_BINS]))
+    left, moments = left.reshape(WIDE, r, r), moments.reshape(r, r) / n[0]
+    ridge = max(1e-6 * np.trace(left, axis1=1, axis2=2).max(), 1e-12)
+    q, upper = np.linalg.qr(np.linalg.solve(left + ridge * np.eye(r), right.reshape(WIDE, r, 1))[:, :, 0])
+    variance, turn = np.linalg.eigh(upper @ moments @ upper.T)
+    middle = np.searchsorted(np.cumsum(bins), max(bins.sum(), 1) / 2)
+    return Model(q @ turn[:, ::-1], variance[::-1], (1.4826 * 2.0 ** ((middle + 0.5) / 8 + _LOG_LEAST)) ** 2)
+
+
+def _fill(width: int, m: Model):  # noqa: ANN202
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core = np.arange(MARGIN, MARGIN + CORE)
-        for batch in batches:
+        for batch, c in _slices(batches, width):
             n = batch.num_rows
-            if not n:
-                continue
-            x, ok = _cells(batch, width)
+            u = _sources(c, c.used, m)
+            for _ in range(REWEIGHTED):
+                u = _sources(c, _weights(c, u, m)[0], m)
+            guess = (u @ m.basis.T * c.scale[:, None] + c.middle[:, None]).reshape(n, width, WIDE)[:, :, core].transpose(0, 2, 1)
             seen = batch.column("seen").flatten().to_numpy(zero_copy_only=False).reshape(n, WIDE)[:, core]
             kept = batch.column("cells").flatten().to_numpy(zero_copy_only=False).reshape(n, width, WIDE)[:, :, core].transpose(0, 2, 1)
-            guess = (_sources(x, ok, basis) @ basis.T).reshape(n, width, WIDE)[:, :, core].transpose(0, 2, 1)
-            place = np.where(ok, np.arange(WIDE), -WIDE)
+            place = np.where(c.used, np.arange(WIDE), -WIDE)
             before = np.arange(WIDE) - np.maximum.accumulate(place, axis=1)
-            place = np.where(ok, np.arange(WIDE), 3 * WIDE)
+            place = np.where(c.used, np.arange(WIDE), 3 * WIDE)
             after = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1] - np.arange(WIDE)
-            supported = (before <= REACH) & (after <= REACH) & (ok.sum(1) >= SUPPORT)[:, None]
+            supported = (before <= REACH) & (after <= REACH) & (c.used.sum(1) >= SUPPORT)[:, None]
             supported = supported.reshape(n, width, WIDE)[:, :, core].transpose(0, 2, 1)
             k = ints(batch, "block")[:, None] * CORE + np.arange(CORE)
             inside = k < ints(batch, "points")[:, None]
-            value = np.where(seen[:, :, None], kept, guess.astype(np.float32))[inside]
+            with np.errstate(over="ignore"):
+                value = np.where(seen[:, :, None], kept, guess.astype(np.float32))[inside]
             null = (~seen[:, :, None] & ~supported)[inside]
             status = np.where(seen, "observed", np.where(supported.all(2), "filled", "marked"))[inside]
             ep, fps = (np.repeat(ints(batch, c), CORE).reshape(n, CORE)[inside] for c in ("episode_index", "fps"))
@@ -124,10 +226,10 @@ def _fill(width: int, basis: np.ndarray):  # noqa: ANN202
     return work
 
 
-def first_basis(rank: int = RANK) -> np.ndarray:
-    """Cosines of rising frequency over a window: where the alternation begins."""
+def first_model(rank: int = RANK) -> Model:
+    """Cosines of rising frequency over a window, of falling variance: where the alternation begins."""
     t = (np.arange(WIDE) + 0.5) / WIDE
-    return np.cos(np.pi * t[:, None] * np.arange(rank)) * np.sqrt(2 / WIDE)
+    return Model(np.cos(np.pi * t[:, None] * np.arange(rank)) * np.sqrt(2 / WIDE), WIDE / (1.0 + np.arange(rank)) ** 4)
 
 
 def onto_grid(frames: DataFrame, episodes: DataFrame, field: str = "observation.state", width: int = 7, rounds: int = ROUNDS) -> DataFrame:
@@ -136,19 +238,19 @@ def onto_grid(frames: DataFrame, episodes: DataFrame, field: str = "observation.
     The grid runs from 0 to the point nearest the episode's last timestamp. A point with a frame within half a period is `observed` and
     keeps that frame's value exactly (of several frames the nearest in time, then the smallest frame_index), not-finite elements
     included. The others are filled from a factorisation of the matrix whose rows are the sources (window of an episode x element) and
-    whose columns are the grid times within a window, fitted by alternating least squares over all readings of all episodes: the
-    sources' factors are solved in place, the times' normal equations are summed over the cluster, a few thousand numbers per
-    alternation. A missing cell is `filled` if its row has SUPPORT readings and one within REACH points on both sides; otherwise its
-    element is null and the point is `marked`.
+    whose columns are the grid times within a window, fitted by alternating least squares over the readings of all episodes: the
+    sources' factors are solved in place, the times' normal equations are summed over the cluster, about 14,000 numbers per
+    alternation. Spikes take no part (`outlying`) and the other readings are weighed by their residuals, so wrong readings, which stay
+    in the result where they were observed, do not bend the fill. A missing cell is `filled` if its row has SUPPORT readings that take
+    part and one of them within REACH points on both sides; otherwise its element is null and the point is `marked`.
 
-    The windows are written once, as a Parquet table in the checkpoint folder, and read by each alternation; like checkpoints they stay
-    there until that folder is cleaned.
+    The windows are written once, as a Parquet table in the checkpoint folder, and read by each alternation; `session.keep` removes it
+    when the program ends.
 
     Frames with null or not-finite timestamp, null field or null episode_index take no part (but any timestamp counts for the last one);
     null elements are missing cells; episodes without a row in episodes, without a positive fps or without any timestamp give no row.
     Repeated rows change nothing; of several fps of one episode the smallest counts. Empty tables give no row.
     """
-    spark = frames.sparkSession
     frames, episodes = exact(frames, "episode_index", "frame_index", "timestamp", field), exact(episodes, "episode_index", "fps")
     t = F.col("timestamp").cast("double")
     fine = frames.where(F.col("episode_index").isNotNull() & t.isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf")))
@@ -158,26 +260,25 @@ def onto_grid(frames: DataFrame, episodes: DataFrame, field: str = "observation.
     last = fine.groupBy("episode_index").agg(F.max(t).alias("timestamp")).join(rates, "episode_index")
     plan = last.select("episode_index", "fps", (nearest + 1).alias("points")).where("points > 0")
     nulls = [F.lit(None).cast(x).alias(c) for c, x in (("k", "long"), ("gap", "double"), ("frame_index", "long"), ("state", "array<float>"))]
-    own = plan.select("episode_index", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("points") - 1) / CORE))).alias("block"), "fps", "points", *nulls)
+    # two steps, so that one far timestamp makes no endless list
+    far = plan.withColumn("_far", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("points") - 1) / (CORE * _BLOCKS)))))
+    most = F.least(F.floor((F.col("points") - 1) / CORE), F.col("_far") * _BLOCKS + _BLOCKS - 1)
+    own = far.select("episode_index", F.explode(F.sequence(F.col("_far") * _BLOCKS, most)).alias("block"), "fps", "points", *nulls)
     k = F.col("k")
     blocks = F.sequence(F.greatest(F.lit(0), F.floor((k - MARGIN) / CORE)), F.floor((k + MARGIN) / CORE))
     state = F.col(f"`{field}`")
     read = attach(fine.where(state.isNotNull()).select("episode_index", "timestamp", "frame_index", state.cast("array<float>").alias("state")), rates, "episode_index")
     read = read.withColumn("k", nearest).where(k >= 0).withColumn("gap", F.abs(t - k / F.col("fps")))
     given = read.select("episode_index", F.explode(blocks).alias("block"), F.lit(None).cast("int").alias("fps"), F.lit(None).cast("long").alias("points"), "k", "gap", "frame_index", "state")
-    rows = own.unionByName(given).repartition("episode_index", "block").sortWithinPartitions("episode_index", "block", "k", "gap", "frame_index")
-    path = f"{ensure_checkpoint_dir(spark)}/grid-{uuid.uuid4().hex}"
-    rows.mapInArrow(_windows(width), _WINDOW).write.option("compression", "zstd").parquet(path)
-    windows = spark.read.schema(_WINDOW).parquet(path)
-    basis = first_basis()
-    r = basis.shape[1]
+    rows = own.unionByName(given).repartition(partitions(frames), "episode_index", "block").sortWithinPartitions("episode_index", "block", "k", "gap", "frame_index")
+    windows = keep(rows.mapInArrow(_windows(width), _WINDOW), "grid")
+    model = first_model()
+    r = model.basis.shape[1]
     for _ in range(rounds):
-        sums = windows.select("cells").mapInArrow(_times(width, basis), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()  # WIDE * (r * r + r) rows
-        if not sums:
-            break
-        total = np.zeros(WIDE * (r * r + r))
+        sums = windows.select("cells").mapInArrow(_times(width, model), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()  # about 14,000 rows
+        total = np.zeros(WIDE * (r * r + r) + r * r + _LOG_BINS + 1)
         total[[x["cell"] for x in sums]] = [x["value"] for x in sums]
-        total = total.reshape(WIDE, -1)
-        left = total[:, : r * r].reshape(WIDE, r, r) + PENALTY * np.eye(r)
-        basis = np.linalg.qr(np.linalg.solve(left, total[:, r * r :, None])[:, :, 0])[0]
-    return windows.mapInArrow(_fill(width, basis), _GRID)
+        if not total[-1]:
+            break
+        model = _next_model(total, r)
+    return windows.mapInArrow(_fill(width, model), _GRID)

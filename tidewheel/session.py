@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension of a few narrow columns is broadcast (about 32 MB); beyond it the join is shuffled.
-BROADCAST_ROWS = 400_000
+#: Bytes, as Spark estimates them, up to which a dimension is broadcast; beyond it the join is shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of stored input that one shuffle partition is made for.
+PARTITION_BYTES = 32 << 20
 #: Copies of a dimension row, and salts of the fact rows, in a shuffled join.
 JOIN_SALTS = 16
 
@@ -31,10 +35,12 @@ def get_spark(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; a folder of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder the session names in spark.checkpoint.dir. Where none is named, a local session gets one of its own; a cluster must name one."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewheel-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or f"{tempfile.gettempdir()}/tidewheel-{uuid.uuid4().hex}")
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -44,6 +50,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder: smaller than a checkpoint, and read by columns. Removed when the program ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of df as the optimizer estimates them: of files their size, of what is computed an upper guess."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def partitions(*inputs: DataFrame) -> int:
+    """Shuffle partitions for rows read from these tables: the session's number, or more if the tables are larger. Those of unknown size count for nothing."""
+    least = int(inputs[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = sum(n for n in map(size_of, inputs) if n < 1 << 50)
+    return max(least, math.ceil(known / PARTITION_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,17 +85,26 @@ def exact(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*(c if first.get(c) == i else f"__other_{i}" for i, c in enumerate(there))).select(*(F.col(f"`{n}`") for n in names))
 
 
-def attach(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _bytes(df: DataFrame) -> int:
+    """Bytes of df's values, measured: strings, lists and maps by their own length."""
+    size = F.lit(16)
+    for c, kind in df.dtypes:
+        c = F.col(f"`{c}`")
+        long = F.octet_length(c) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) if kind.startswith(("array", "map", "struct")) else F.lit(0)
+        size = size + 16 + F.coalesce(long, F.lit(0))
+    return df.agg(F.sum(size)).first()[0] or 0
+
+
+def attach(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join a narrow dimension with one row per key to a fact table.
 
-    The dimension's rows are counted first (one that is computed is kept, so that this costs no second run): up to max_rows it is
+    The dimension is measured first (one whose inputs may be large is kept, so that this costs no second run): up to max_bytes it is
     broadcast; a larger one is copied JOIN_SALTS times and joined on (key, salt), so that a key with a third of all facts is still
     spread over JOIN_SALTS tasks. The salt is a hash of the fact's plain columns: the same again if a lost task is run again.
     """
-    made = dim._jdf.queryExecution().analyzed().toString()
-    if any(x in made for x in ("Aggregate", "Join", "Window", "MapInArrow")):
-        dim = cut(dim)
-    if dim.limit(max_rows + 1).count() <= max_rows:
+    if size_of(dim) * 4 > max_bytes:
+        dim = keep(dim, "dimension")
+    if _bytes(dim) <= max_bytes:
         return fact.join(F.broadcast(dim), key, how)
     salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(JOIN_SALTS - 1).cast("long"))))
     plain = [F.col(f"`{c}`") for c, kind in fact.dtypes if not kind.startswith(("array", "struct", "map"))]
