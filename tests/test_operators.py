@@ -333,3 +333,19 @@ def test_images_and_videos(spark):
     assert got == {(2, "camera_frame_count"), (2, "camera_dropped_frame"), (2, "camera_timestamp_misaligned"), (3, "camera_file_missing"), (4, "camera_decode_failed")}
     eps = f.select("ep").distinct()
     assert quality.missing_clock_issues(eps, ["timestamp", "img"], ["img"]).count() == 4 and quality.missing_clock_issues(eps, ["cam_timestamp"], ["img"]).count() == 0
+
+
+@pytest.mark.parametrize("most", [3, 50, 100_000])
+def test_exact_percentiles(spark, most):
+    """As NumPy gives them, however few distinct values are sorted at once; with repeated, null and not-finite values, and a hot group."""
+    rng = np.random.default_rng(0)
+    groups = {0: rng.normal(0, 1, 3000), 1: rng.choice([1.0, 2.0, 7.0], 400), 2: np.array([5.0]), 3: 10.0 ** rng.uniform(-30, 30, 200), 4: np.array([-1.0, 3.0])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [(0, None), (1, math.nan), (5, None), (2, math.inf), (None, 3.0)]
+    df = spark.createDataFrame(rows, "k long, x double")
+    got = {(r["k"], r["p"]): r["x"] for r in stats.exact_percentiles(df.where("k is not null"), ["k"], "x", [0.05, 0.5, 0.99], most=most).collect()}
+    assert len(got) == 15
+    for (k, p), x in got.items():
+        assert x == pytest.approx(np.quantile(groups[k], p), rel=1e-12)
+    counted = df.where("k = 1 and not isnan(x)").groupBy("k", "x").agg(F.count("*").alias("n"))
+    assert stats.exact_percentiles(counted, ["k"], "x", [0.5], "n", most).first()["x"] == np.median(groups[1])
+    assert stats.exact_percentiles(df.where("false"), ["k"], "x", [0.5]).count() == 0

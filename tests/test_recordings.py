@@ -74,11 +74,30 @@ def test_spikes_in_chunks(spark):
     """Small chunks and large ones agree, also in the usual step, which is taken over the whole episode."""
     rows = spark.createDataFrame(made(np.random.default_rng(5), 2, 400), FRAMES)
     limits = spark.createDataFrame([(j, "", -2.0, 2.0) for j in range(7)], LIMITS)
-    whole, parts = (sorted(map(tuple, spikes.implausible_readings(rows, limits, chunk=c, context=k).collect())) for c, k in ((65_536, 64), (97, 24)))
+    whole, parts = (sorted(map(tuple, spikes.implausible_readings(rows, limits, chunk=c).collect())) for c in (65_536, 97))
     assert {r[4:7] for r in whole} >= {(True, False, False), (False, True, False), (False, False, True)}
     assert rows_of(range(8), whole) == rows_of(range(8), parts)
 
 
+@pytest.mark.parametrize("chunk", [5, 16, 40])
+def test_spikes_over_long_gaps(spark, tmp_path, chunk):
+    """Stretches without a usable reading, longer than several chunks, between the readings of a spike, a stretch or a step: the same as SQL and as one chunk."""
+    rng = np.random.default_rng(chunk)
+    rows = []
+    for i, (t, fi, e, s, a, r) in enumerate(sorted(made(rng, 3, 300, dirty=False), key=lambda x: (x[2], x[1]))):
+        s = [v + (0.5 if rng.random() < 0.05 else 0.0) for v in s]
+        if fi // 50 % 2:
+            s = None if e == 0 else [9.0 if fi % 7 else v for v in s] if e == 1 else [math.nan, *s[1:6], s[6] if fi % 43 == 0 else None]
+        rows.append((t, fi, e, s, a, r))
+    con = tables(spark, tmp_path, rows)
+    df = spikes.implausible_readings(spark.read.parquet(f"{tmp_path}/frames.parquet"), spark.read.parquet(f"{tmp_path}/joint_limits.parquet"), chunk=chunk).drop("usual_step")
+    result = con.execute(recordings.SQL["p5_reasons"])
+    columns = [x[0] for x in result.description]
+    got = rows_of(df.columns, df.collect())
+    assert got == rows_of(columns, result.fetchall())
+    assert {r[4:] for r in map(tuple, df.collect())} >= {(True, False, False), (False, False, True)}
+
+
 def test_spike_kinds(spark):
     flat = [(i / 30, i, 1, [0.1 * i * 0.01] * 7, [0.5 + 0.02 * i] * 7, T0) for i in range(60)]
 

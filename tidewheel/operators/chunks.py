@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.session import partitions
+
 #: Rows gathered before a block of whole groups is handed on.
 BLOCK_ROWS = 60_000
 
@@ -22,19 +24,27 @@ def plain(name: str) -> str:
     return name.replace(".", "_")
 
 
-def frame_chunks(frames: DataFrame, columns: list[str], length: int, overlap: int = 0) -> DataFrame:
-    """Rows by (episode_index, chunk), ordered by frame_index and received_at; chunk = frame_index // length.
+def chunk_rows(frames: DataFrame, columns: list[str], length: int) -> DataFrame:
+    """Rows with their chunk = frame_index // length, not yet gathered.
 
-    Dots in column names become underscores. With an overlap a row is also given to a neighbouring chunk that begins or ends within so many frame indexes. Rows without
-    episode_index or frame_index belong to no chunk and are left out.
+    Dots in column names become underscores. Rows without episode_index or frame_index belong to no chunk and are left out.
     """
-    fi = F.col("frame_index")
-    base = frames.where(F.col("episode_index").isNotNull() & fi.isNotNull())
+    base = frames.where("episode_index is not null and frame_index is not null")
     picked = ["episode_index", "frame_index", *columns, "received_at"]
-    at = lambda x: F.floor(x / F.lit(length))
-    chunk = at(fi) if not overlap else F.explode(F.sequence(at(fi - overlap), at(fi + overlap)))
-    cut = base.select(*(F.col(f"`{c}`").alias(plain(c)) for c in dict.fromkeys(picked)), chunk.alias("chunk"))
-    return cut.repartition("episode_index", "chunk").sortWithinPartitions("episode_index", "chunk", "frame_index", "received_at")
+    return base.select(*(F.col(f"`{c}`").alias(plain(c)) for c in dict.fromkeys(picked)), F.floor(F.col("frame_index") / F.lit(length)).alias("chunk"))
+
+
+def in_chunks(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """Rows by (episode_index, chunk), ordered by frame_index and received_at, in as many partitions as the source's size asks for.
+
+    The rows must not be a union of tables partitioned so already: Spark would take that union for partitioned and gather nothing.
+    """
+    return rows.repartition(partitions(source), "episode_index", "chunk").sortWithinPartitions("episode_index", "chunk", "frame_index", "received_at")
+
+
+def frame_chunks(frames: DataFrame, columns: list[str], length: int) -> DataFrame:
+    """chunk_rows, gathered by in_chunks."""
+    return in_chunks(chunk_rows(frames, columns, length), frames)
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = BLOCK_ROWS) -> Iterator[pa.Table]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,22 +11,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.vectors import nonfinite
-from tidewheel.operators.chunks import first_deliveries, frame_chunks, ints, matrix, plain, starts_of, whole_groups
+from tidewheel.operators.chunks import chunk_rows, first_deliveries, frame_chunks, in_chunks, ints, matrix, plain, starts_of, whole_groups
+from tidewheel.operators.stats import exact_percentiles
 from tidewheel.session import attach, cut, exact
 
-#: Frame indexes of one chunk of an episode, and frames of its neighbours that a chunk sees on either side.
-CHUNK, CONTEXT = 65_536, 64
+#: Frame indexes of one chunk of an episode.
+CHUNK = 65_536
 #: Kalman filter per channel, in usual steps of that channel: standard deviation of the level's walk and of a reading, and the gate.
 WALK, READING, GATE = 1.0, 0.5, 4.0
 #: After so many withheld updates in a row the filter takes the reading as its new level.
 WITHHELD = 3
 #: Innovations under this share of the usual step over QUIET readings count as vanished.
 VANISHED, QUIET = 0.05, 8
+#: Usable readings of a channel that a chunk sees of its neighbours on either side: the longest spike and the reading beyond it.
+BESIDE = 4
 #: The definition: longest spike, its height in usual steps, shortest stuck stretch, and the range of the other field in it.
 SPIKE_LENGTH, SPIKE_STEPS, STUCK_LENGTH, OTHER_RANGE = 3, 10.0, 15, 0.05
 
 _FLAGS = "episode_index long, frame_index long, field string, joint_index long, impossible boolean, stuck boolean, spike boolean, usual_step double"
 _STEPS = "episode_index long, channel int, step double, n long"
+_EDGES = "episode_index long, channel int, chunk long, frame_index long, value double"
 _ENDS = "episode_index long, channel int, chunk long, kind int, first long, last long, n long, low double, high double, value double"
 
 
@@ -121,20 +126,23 @@ def _stretches(v: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin, np.diff(np.append(begin, len(v)))
 
 
-def _stuck(v: np.ndarray, other: np.ndarray, group: np.ndarray, quiet: np.ndarray, fi: np.ndarray, chunk: int, across: dict[int, list[tuple[int, int]]] | None) -> np.ndarray:
+def _stuck(v: np.ndarray, other: np.ndarray, group: np.ndarray, quiet: np.ndarray, fi: np.ndarray, across: dict[int, list[tuple[int, int]]]) -> np.ndarray:
     """Which readings of a channel lie in a stretch of equal values that the filter calls quiet, while the other field moves.
 
-    across: by group, the stuck stretches over chunk borders; what crosses a border here is judged by them, as only a part may be seen.
+    across: by group, the stuck stretches over chunk borders; a stretch that is part of one is stuck, however little of it lies here.
     """
     begin, length = _stretches(v, group)
     out = np.zeros(len(v), bool)
-    for i, k in zip(begin, length, strict=True) if across is not None else zip(begin[length >= STUCK_LENGTH], length[length >= STUCK_LENGTH], strict=True):
-        if across is not None and fi[i] // chunk != fi[i + k - 1] // chunk:
-            out[i : i + k] = any(a <= fi[i + k - 1] and fi[i] <= b for a, b in across.get(int(group[i]), ()))
-        elif k >= STUCK_LENGTH and quiet[i : i + k].any():
+    long = length >= STUCK_LENGTH
+    for i, k in zip(begin[long], length[long], strict=True):
+        if quiet[i : i + k].any():
             o = other[i : i + k]
             o = o[np.isfinite(o)]
             out[i : i + k] = len(o) > 0 and o.max() - o.min() > OTHER_RANGE
+    for g, stretches in across.items():
+        lo, hi = np.searchsorted(group, [g, g + 1])
+        for first, last in stretches:
+            out[lo:hi] |= (fi[lo:hi] >= first) & (fi[lo:hi] <= last)
     return out
 
 
@@ -153,31 +161,69 @@ def _read(block: pa.Table, fields: list[str], width: int, lower: np.ndarray, upp
     return t, x, there, ok, starts, np.cumsum(group) - 1
 
 
-def _told(block: pa.Table, t: pa.Table, starts: np.ndarray, steps: np.ndarray, channels: int):  # noqa: ANN202
-    """Usual steps and stuck stretches over chunk borders, from the rows without frame_index that come before a chunk's own."""
+@dataclass
+class Told:
+    """What a block's chunks know of their neighbours, by group: usual steps, stuck stretches over borders, and by channel the readings before and after."""
+
+    steps: np.ndarray
+    across: list[dict[int, list[tuple[int, int]]]]
+    before: dict[tuple[int, int], list[float]]
+    after: dict[tuple[int, int], list[float]]
+
+
+def _told(block: pa.Table, t: pa.Table, starts: np.ndarray, steps: np.ndarray, channels: int) -> Told:
+    """From the rows without frame_index that come before a chunk's own."""
     place = {k: g for g, k in enumerate(zip(ints(t, "episode_index")[starts].tolist(), ints(t, "chunk")[starts].tolist(), strict=True))}
-    across: list[dict[int, list[tuple[int, int]]]] = [{} for _ in range(channels)]
-    steps = steps.copy()
-    for r in block.filter(block.column("frame_index").is_null()).select(["episode_index", "chunk", "_steps", "_across"]).to_pylist():
+    told = Told(steps.copy(), [{} for _ in range(channels)], {}, {})
+    for r in block.filter(block.column("frame_index").is_null()).select(["episode_index", "chunk", "_steps", "_across", "_beside"]).to_pylist():
         g = place.get((r["episode_index"], r["chunk"]))
         if g is not None:
-            steps[g] = [np.nan if x is None else x for x in r["_steps"] or [None] * channels]
+            told.steps[g] = [np.nan if x is None else x for x in r["_steps"] or [None] * channels]
             for x in r["_across"] or ():
-                across[x["channel"]].setdefault(g, []).append((x["first"], x["last"]))
-    return steps, across
+                told.across[x["channel"]].setdefault(g, []).append((x["first"], x["last"]))
+            for x in r["_beside"] or ():
+                if x["before"]:
+                    told.before[g, x["channel"]] = x["before"]
+                if x["after"]:
+                    told.after[g, x["channel"]] = x["after"]
+    return told
 
 
-def _edges(columns: list[str], context: int):  # noqa: ANN202
-    """The first and the last `context` frames of each chunk."""
+def _between(x: np.ndarray, ok: np.ndarray, starts: np.ndarray, told: Told) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each group between BESIDE rows of the readings before it and as many of those after it, channel by channel.
+
+    Such a row is no frame: what it holds in one channel was read at another time than in the next. Also where the groups begin then,
+    each row's group, and the rows that are the groups' own.
+    """
+    sizes = np.diff(np.append(starts, len(x)))
+    at = np.arange(len(x)) + np.repeat(BESIDE * (1 + 2 * np.arange(len(starts))), sizes)
+    n = len(x) + 2 * BESIDE * len(starts)
+    wide, usable = np.full((n, x.shape[1]), np.nan), np.zeros((n, x.shape[1]), bool)
+    wide[at], usable[at] = x, ok
+    begin = starts + 2 * BESIDE * np.arange(len(starts))
+    for readings, where in ((told.before, begin), (told.after, begin + BESIDE + sizes)):
+        for (g, c), values in readings.items():
+            rows = where[g] + np.arange(len(values)) + (BESIDE - len(values) if readings is told.before else 0)
+            wide[rows, c], usable[rows, c] = values, True
+    return wide, usable, begin, np.repeat(np.arange(len(starts)), sizes + 2 * BESIDE), at
+
+
+def _edges(fields: list[str], width: int, lower: np.ndarray, upper: np.ndarray):  # noqa: ANN202
+    """The first and the last BESIDE usable readings of each channel of each chunk."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in whole_groups(batches, ["episode_index", "chunk"], 120_000):
-            t = first_deliveries(block).select(columns)
-            starts = starts_of(t, ["episode_index", "chunk"])
-            ends = np.append(starts[1:], t.num_rows)
-            at = np.arange(t.num_rows)
-            near = (at - np.repeat(starts, ends - starts) < context) | (np.repeat(ends, ends - starts) - at <= context)
-            yield from t.filter(pa.array(near)).combine_chunks().to_batches()
+            t, x, _, ok, _, group = _read(block, fields, width, lower, upper)
+            ep, ch, fi = (ints(t, c) for c in ("episode_index", "chunk", "frame_index"))
+            for c in range(2 * width):
+                here = np.flatnonzero(ok[:, c])
+                if not len(here):
+                    continue
+                starts = np.flatnonzero(np.append(True, group[here[1:]] != group[here[:-1]]))
+                sizes = np.diff(np.append(starts, len(here)))
+                k = np.arange(len(here)) - np.repeat(starts, sizes)
+                r = here[(k < BESIDE) | (np.repeat(sizes, sizes) - k <= BESIDE)]
+                yield pa.RecordBatch.from_pydict({"episode_index": ep[r], "channel": np.full(len(r), c, np.int32), "chunk": ch[r], "frame_index": fi[r], "value": x[r, c]})
 
     return work
 
@@ -213,29 +259,32 @@ def _ends(fields: list[str], width: int, lower: np.ndarray, upper: np.ndarray):
     return work
 
 
-def _flag(fields: list[str], names: list[str], width: int, lower: np.ndarray, upper: np.ndarray, chunk: int, known: bool):  # noqa: ANN202
+def _flag(fields: list[str], names: list[str], width: int, lower: np.ndarray, upper: np.ndarray, known: bool):  # noqa: ANN202
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in whole_groups(batches, ["episode_index", "chunk"], 120_000):
             t, x, there, ok, starts, group = _read(block, fields, width, lower, upper)
             if not t.num_rows:
                 continue
-            steps, across = usual_steps(x, ok, group, starts), [None] * (2 * width)
+            told = Told(usual_steps(x, ok, group, starts), [{} for _ in range(2 * width)], {}, {})
+            wide, usable, begin, of, at = x, ok, starts, group, np.arange(len(x))
             if known:
-                steps, across = _told(block, t, starts, steps, 2 * width)
-            flagged, quiet = kalman(x, ok, starts, steps)
+                told = _told(block, t, starts, told.steps, 2 * width)
+                wide, usable, begin, of, at = _between(x, ok, starts, told)
+            steps = told.steps
+            flagged, quiet = kalman(wide, usable, begin, steps)
             ep, fi = ints(t, "episode_index"), ints(t, "frame_index")
-            own = fi // chunk == ints(t, "chunk")
             for c in range(2 * width):
                 f, j = divmod(c, width)
                 here = np.flatnonzero(there[:, c])
-                v, other = x[here, c], x[here, (1 - f) * width + j]
                 impossible = ~ok[here, c]
-                stuck = _stuck(v, other, group[here], quiet[here, c] | impossible, fi[here], chunk, across[c])  # the filter sees no impossible ones
-                spike = np.zeros(len(here), bool)
-                fine = np.flatnonzero(~impossible)
-                step = steps[group[here[fine]], c]
-                spike[fine] = _spikes(v[fine], group[here[fine]], flagged[here[fine], c] & ~np.isnan(step), step)
-                hit = np.flatnonzero((impossible | stuck | spike) & own[here])
+                # the filter sees no impossible ones
+                stuck = _stuck(x[here, c], x[here, (1 - f) * width + j], group[here], quiet[at[here], c] | impossible, fi[here], told.across[c])
+                spike = np.zeros(len(wide), bool)
+                fine = np.flatnonzero(usable[:, c])
+                step = steps[of[fine], c]
+                spike[fine] = _spikes(wide[fine, c], of[fine], flagged[fine, c] & ~np.isnan(step), step)
+                spike = spike[at[here]]
+                hit = np.flatnonzero(impossible | stuck | spike)
                 if len(hit):
                     r = here[hit]
                     u = steps[group[r], c]
@@ -249,12 +298,13 @@ def _flag(fields: list[str], names: list[str], width: int, lower: np.ndarray, up
     return work
 
 
-def _count_steps(fields: list[str], width: int, lower: np.ndarray, upper: np.ndarray, chunk: int):  # noqa: ANN202
+def _count_steps(fields: list[str], width: int, lower: np.ndarray, upper: np.ndarray):  # noqa: ANN202
+    """How often each step occurs within a chunk, by channel."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in whole_groups(batches, ["episode_index", "chunk"], 120_000):
             t, x, _, ok, starts, group = _read(block, fields, width, lower, upper)
             steps = step_sizes(x, ok, group)
-            steps[ints(t, "frame_index") // chunk != ints(t, "chunk")] = np.inf
             ep = ints(t, "episode_index")
             for i, k in zip(starts, np.append(starts[1:], t.num_rows), strict=True):
                 for c in range(x.shape[1]):
@@ -267,7 +317,7 @@ def _count_steps(fields: list[str], width: int, lower: np.ndarray, upper: np.nda
 
 
 def implausible_readings(
-    frames: DataFrame, limits: DataFrame, fields: tuple[str, str] = ("observation.state", "action"), names: tuple[str, str] = ("state", "action"), chunk: int = CHUNK, context: int = CONTEXT
+    frames: DataFrame, limits: DataFrame, fields: tuple[str, str] = ("observation.state", "action"), names: tuple[str, str] = ("state", "action"), chunk: int = CHUNK
 ) -> DataFrame:
     """One row per reading that cannot be true, with why: impossible (not finite or outside limits), stuck, or spike.
 
@@ -278,10 +328,10 @@ def implausible_readings(
 
     limits has joint_index, lower_rad and upper_rad (7 rows; null or missing: no limit). A frame delivered twice counts once; frames
     whose field is null are left out for that field; null elements count as not finite; rows without episode_index or frame_index are
-    left out. Episodes are cut into chunks of frame indexes that see `context` frames of their neighbours, so one episode may hold any
-    part of all rows; the usual step of an episode in several chunks is the exact median over all of them, and stuck stretches over
-    chunk borders are joined. The result is exact but for one case: where a chunk begins after `context` frames without a usable reading
-    of a joint, that joint's series is taken to begin anew. An empty table gives no row.
+    left out. Episodes are cut into chunks of frame indexes, so one episode may hold any part of all rows; of its neighbours a chunk is
+    told, by channel, the usable readings nearest to it, however far off; the usual step of an episode in several chunks is the exact
+    median over all of them, and stuck stretches over chunk borders are joined. So the result does not depend on the chunks. An empty
+    table gives no row.
     """
     frames = exact(frames, "episode_index", "frame_index", *fields, "received_at")
     known = [r for r in exact(limits, "joint_index", "lower_rad", "upper_rad").where("joint_index is not null").limit(10_001).collect()]
@@ -299,46 +349,45 @@ def implausible_readings(
     fine = frames.where("episode_index is not null and frame_index is not null")
     long = cut(fine.groupBy("episode_index").agg(at(F.min).alias("a"), at(F.max).alias("b")).where("a <> b").select("episode_index"))
     several = not long.isEmpty()
-    rows = frame_chunks(frames, columns, chunk)
+    rows = chunk_rows(frames, columns, chunk)
     if several:
-        extra, told = _over_chunks(attach(frames, long, "episode_index"), columns, width, lower, upper, chunk, context)
+        told = _over_chunks(attach(frames, long, "episode_index"), columns, width, lower, upper, chunk)
+        extra = ("_steps", "_across", "_beside")
+        given = rows.select("*", *(F.lit(None).cast(told.schema[c].dataType).alias(c) for c in extra))
         more = [c for c in rows.columns if c not in ("episode_index", "chunk")]
-        given = rows.unionByName(extra).select("*", F.lit(None).cast("array<double>").alias("_steps"), F.lit(None).cast(told.schema["_across"].dataType).alias("_across"))
-        told = told.select("episode_index", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in more), "chunk", "_steps", "_across")
-        rows = _sorted(given.unionByName(told))
-    return rows.mapInArrow(_flag(columns, list(names), width, lower, upper, chunk, several), _FLAGS)
-
-
-def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartition("episode_index", "chunk").sortWithinPartitions("episode_index", "chunk", "frame_index", "received_at")
+        told = told.select("episode_index", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in more), "chunk", *extra)
+        rows = given.unionByName(told)
+    return in_chunks(rows, frames).mapInArrow(_flag(columns, list(names), width, lower, upper, several), _FLAGS)
 
 
-def _over_chunks(frames: DataFrame, columns: list[str], width: int, lower: np.ndarray, upper: np.ndarray, chunk: int, context: int) -> tuple[DataFrame, DataFrame]:
-    """What a chunk of an episode in several chunks can't see by itself: frames of its neighbours, and (episode_index, chunk, _steps, _across).
+def _over_chunks(frames: DataFrame, columns: list[str], width: int, lower: np.ndarray, upper: np.ndarray, chunk: int) -> DataFrame:
+    """What a chunk of an episode in several chunks can't see by itself: (episode_index, chunk, _steps, _across, _beside).
 
-    Neighbouring frames come from the first and last `context` ones of each chunk, in order over the episode. Steps are the exact median
-    by channel, over counts of equal steps. Stuck stretches that cross chunk borders are joined over two rows per chunk and channel.
+    Steps are the exact median by channel, over counts of equal steps, those from chunk to chunk among them. Stuck stretches that cross
+    chunk borders are joined over two rows per chunk and channel; the readings beside a chunk are found among up to eight rows of each.
     """
     rows = frame_chunks(frames, columns, chunk)
-    edges = cut(rows.mapInArrow(_edges(rows.columns, context), rows.schema))
-    w = Window.partitionBy("episode_index").orderBy("frame_index")
-    whole = F.struct(*(c for c in edges.columns if c not in ("episode_index", "chunk")))
-    other = lambda f: F.coalesce(f("chunk").over(w) != F.col("chunk"), F.lit(False))
-    none = F.array().cast(edges.select(F.array(whole).alias("x")).schema["x"].dataType)
-    before = F.when(other(F.lag), F.collect_list(whole).over(w.rowsBetween(-context, -1))).otherwise(none)
-    after = F.when(other(F.lead), F.collect_list(whole).over(w.rowsBetween(1, context))).otherwise(none)
-    seen = edges.select("episode_index", "chunk", F.concat(before, after).alias("x")).where(F.size("x") > 0)
-    extra = seen.select("episode_index", "chunk", F.explode("x").alias("x")).select("episode_index", "x.*", "chunk").select(*rows.columns)
-    counts = _sorted(rows.unionByName(extra)).mapInArrow(_count_steps(columns, width, lower, upper, chunk), _STEPS).groupBy("episode_index", "channel", "step").agg(F.sum("n").alias("n"))
-    median = counts.groupBy("episode_index", "channel").agg(F.percentile("step", F.lit(0.5), F.col("n")).alias("u"))
+    edges = cut(rows.mapInArrow(_edges(columns, width, lower, upper), _EDGES))
+    w = Window.partitionBy("episode_index", "channel").orderBy("frame_index")
+    told = edges.select(
+        "*", (F.lag("chunk").over(w) != F.col("chunk")).alias("_new"), (F.lead("chunk").over(w) != F.col("chunk")).alias("_old"), F.abs(F.col("value") - F.lag("value").over(w)).alias("step"),
+        F.collect_list("value").over(w.rowsBetween(-BESIDE, -1)).alias("before"), F.collect_list("value").over(w.rowsBetween(1, BESIDE)).alias("after"),
+    )
+    between = told.where("_new and step > 0").select("episode_index", "channel", "step", F.lit(1).cast("long").alias("n"))
+    sides = told.where("_new or _old").groupBy("episode_index", "chunk", "channel").agg(F.max(F.when(F.col("_new"), F.col("before"))).alias("before"), F.max(F.when(F.col("_old"), F.col("after"))).alias("after"))
+    beside = sides.groupBy("episode_index", "chunk").agg(F.collect_list(F.struct("channel", "before", "after")).alias("_beside"))
+    counts = rows.mapInArrow(_count_steps(columns, width, lower, upper), _STEPS).unionByName(between).groupBy("episode_index", "channel", "step").agg(F.sum("n").alias("n"))
+    median = exact_percentiles(counts, ["episode_index", "channel"], "step", [0.5], "n").withColumnRenamed("step", "u")
     by = median.groupBy("episode_index").agg(F.map_from_entries(F.collect_list(F.struct("channel", "u"))).alias("m"))
     steps = by.select("episode_index", F.transform(F.sequence(F.lit(0), F.lit(2 * width - 1)), lambda c: F.try_element_at("m", c)).alias("_steps"))
     ends = cut(rows.mapInArrow(_ends(columns, width, lower, upper), _ENDS))
     v = Window.partitionBy("episode_index", "channel").orderBy("first")
     goes_on = (F.lag("chunk").over(v) != F.col("chunk")) & (F.lag("value").over(v) == F.col("value")) & ~nonfinite(F.col("value"))
     numbered = ends.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(v.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy("episode_index", "channel", "_run").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"), F.collect_set("chunk").alias("chunks"))
+    of_run = [F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"), F.collect_set("chunk").alias("chunks")]
+    runs = numbered.groupBy("episode_index", "channel", "_run").agg(*of_run)
     stuck = runs.where((F.size("chunks") > 1) & (F.col("n") >= STUCK_LENGTH) & (F.col("high") - F.col("low") > OTHER_RANGE))
     by_chunk = stuck.select("episode_index", F.explode("chunks").alias("chunk"), F.struct("channel", "first", "last").alias("x")).groupBy("episode_index", "chunk").agg(F.collect_list("x").alias("_across"))
-    every = edges.select("episode_index", "chunk").distinct()
-    return extra, every.join(steps, "episode_index", "left").join(by_chunk, ["episode_index", "chunk"], "left").select("episode_index", "chunk", "_steps", "_across")
+    every = ends.select("episode_index", "chunk").distinct()
+    found = every.join(steps, "episode_index", "left").join(by_chunk, ["episode_index", "chunk"], "left").join(beside, ["episode_index", "chunk"], "left")
+    return found.select("episode_index", "chunk", "_steps", "_across", "_beside")

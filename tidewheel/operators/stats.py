@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.session import cut
+
 #: Bins of a histogram quantile, and how far its edges lie beyond the values.
 BINS, EDGE = 5_000, 1e-10
-#: Widest vector whose covariance is taken by pairs.
+#: Widest vector with a covariance: its matrix of products has to fit one task.
 MOST_DIMS = 4_096
+#: Distinct values of a group from which its percentiles are taken at once; of more, the interval that holds them is narrowed first, by so many parts.
+MOST_VALUES, PARTS = 100_000, 1_024
 
 
 def per_dim(df: DataFrame, vector: Column, *keys: str) -> DataFrame:
@@ -40,6 +47,36 @@ def hist_quantiles(values: DataFrame, quantiles: dict[str, float], *keys: str, b
     return got.select(*keys, "n", *(left(k) for k in quantiles))
 
 
+def exact_percentiles(values: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float], n: str | None = None, most: int = MOST_VALUES) -> DataFrame:
+    """(keys, p, value): exact percentiles by keys, between two ranks in proportion; n, if given, counts how often a row's value occurs.
+
+    Values that are null or not finite are left out; a group without others gives no row. No group is ever sorted whole: equal values are
+    counted first, and a group with more than `most` distinct ones is halved in on, in passes that count its values by parts of the
+    interval in which the ranks lie.
+    """
+    keys, v = list(keys), F.col(value).cast("double")
+    fine = values.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    counted = fine.groupBy(*keys, v.alias("_v")).agg((F.sum(n) if n else F.count("*")).alias("_n"))
+    counted = cut(counted)
+    total = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    spans = total.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in percentiles)))).withColumn("_r", F.col("p") * (F.col("_total") - 1)).withColumn("_below", F.lit(0).cast("long"))
+    spans, one = cut(spans), [*keys, "p"]
+    while not (wide := spans.where(F.col("_d") > most)).isEmpty():
+        part = F.least(F.lit(PARTS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS))
+        inside = counted.join(wide, keys).where("_v between _lo and _hi").withColumn("_part", part)
+        parts = inside.groupBy(*one, "_total", "_r", "_below", "_part").agg(F.sum("_n").alias("_n"), F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.col("_below") + F.sum("_n").over(Window.partitionBy(*one).orderBy("_part"))  # at most PARTS rows of each
+        held = parts.withColumn("_upto", upto).where("_upto > floor(_r) and _upto - _n <= ceil(_r)")
+        found = held.groupBy(*one, "_total", "_r").agg(F.sum("_d").alias("_d"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min(F.col("_upto") - F.col("_n")).alias("_below"))
+        spans = cut(spans.where(F.col("_d") <= most).unionByName(found.select(*spans.columns)))
+    left = counted.join(spans, keys).where("_v between _lo and _hi")
+    w = Window.partitionBy(*one).orderBy("_v")  # at most `most` rows of each
+    ranked = left.withColumn("_upto", F.col("_below") + F.sum("_n").over(w))
+    at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
+    ends = ranked.groupBy(*one).agg(at(F.floor("_r")).alias("_a"), at(F.ceil("_r")).alias("_b"), F.max(F.col("_r") - F.floor("_r")).alias("_f"))
+    return ends.select(*one, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(value))
+
+
 def norm_stats(values: DataFrame, *keys: str) -> DataFrame:
     """mean, std, q01, q99 by keys: what a normalisation needs."""
     q = hist_quantiles(values, {"q01": 0.01, "q99": 0.99}, *keys).drop("n")
@@ -53,41 +90,58 @@ def as_vectors(stats: DataFrame) -> DataFrame:
     return one.select(*(F.col(f"s.{k}").alias(k) for k in ("mean", "std", "q01", "q99")))
 
 
-def covariance(df: DataFrame, vector: Column, width: int) -> DataFrame:
-    """(i, j, cov) with n - 1 in the denominator, i <= j, in one pass: sums of products per partition, added up by Spark."""
-    if width > MOST_DIMS:
-        raise ValueError(f"at most {MOST_DIMS} dimensions")
-
-    def work(batches):  # noqa: ANN001, ANN202
-        import pyarrow as pa
+def _products(width: int):  # noqa: ANN202
+    """A partition's sums of products of the vectors with a 1 appended, as one row."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width + 1, width + 1))
         for b in batches:
             c = b.column(0)
             c = c.filter(c.is_valid())
             x = c.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
-            x = np.hstack([x[np.isfinite(x).all(1)], np.ones((int(np.isfinite(x).all(1).sum()), 1))])
+            x = x[np.isfinite(x).all(1)]
+            x = np.hstack([x, np.ones((len(x), 1))])
             total += x.T @ x
-        i, j = np.triu_indices(width + 1)
-        yield pa.RecordBatch.from_pydict({"i": i.astype(np.int64), "j": j.astype(np.int64), "s": total[i, j]})
+        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+
+    return work
 
+
+def _added(width: int, last: bool):  # noqa: ANN202
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width + 1, width + 1))
+        for b in batches:
+            for x in b.column(0):
+                total += np.frombuffer(x.as_buffer()).reshape(width + 1, width + 1)
+        if not last:
+            yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+        elif (n := total[-1, -1]) > 0:
+            with np.errstate(all="ignore"):
+                cov = (total[:-1, :-1] - np.outer(total[:-1, -1], total[:-1, -1]) / n) / (n - 1)
+            yield pa.RecordBatch.from_pydict({"n": np.array([int(n)]), "mean": [total[:-1, -1] / n], "cov": [cov.ravel()]})
+
+    return work
+
+
+def _moment_matrix(df: DataFrame, vector: Column, width: int) -> DataFrame:
+    """One row n, mean, cov (width * width numbers): a block of sums per partition, added up in two steps; none without finite vectors."""
+    if width > MOST_DIMS:
+        raise ValueError(f"at most {MOST_DIMS} dimensions")
     sized = df.select(F.when(F.size(vector) == width, vector.cast("array<double>")).alias("v"))
-    sums = sized.mapInArrow(work, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    means = sums.where(F.col("j") == width)
-    n = means.where(F.col("i") == width).select(F.col("s").alias("n"))
-    mean = lambda k: means.select(F.col("i").alias(k), F.col("s").alias(f"m_{k}"))
-    pairs = sums.where(F.col("j") < width).join(F.broadcast(mean("i")), "i").join(F.broadcast(mean("j")), "j").crossJoin(F.broadcast(n))  # width + 1 rows; one row
-    return pairs.select("i", "j", ((F.col("s") - F.col("m_i") * F.col("m_j") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
+    blocks = sized.mapInArrow(_products(width), "sums binary").repartition(64).mapInArrow(_added(width, False), "sums binary")
+    return blocks.coalesce(1).mapInArrow(_added(width, True), "n long, mean array<double>, cov array<double>")
+
+
+def covariance(df: DataFrame, vector: Column, width: int) -> DataFrame:
+    """(i, j, cov) with n - 1 in the denominator, i <= j, in one pass. Vectors of another width or with a null or not-finite element are left out."""
+    pairs = _moment_matrix(df, vector, width).select(F.posexplode("cov").alias("k", "cov")).select(F.floor(F.col("k") / width).alias("i"), (F.col("k") % width).cast("long").alias("j"), "cov")
+    return pairs.where("i <= j and not isnan(cov)")
 
 
 def principal_components(df: DataFrame, vector: Column, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """mean, components (k x width), scales and explained share. A component's sign makes its largest entry positive; scales are 1e-3 at least."""
-    cov = np.zeros((width, width))
-    for r in covariance(df, vector, width).collect():  # width * (width + 1) / 2 rows
-        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["cov"]
-    mean = np.zeros(width)
-    for r in moments(per_dim(df, vector), "dim").collect():  # width rows
-        mean[r["dim"]] = r["mean"]
+    found = _moment_matrix(df, vector, width).first()  # one row of width * (width + 1) numbers
+    mean, cov = (np.zeros(width), np.zeros((width, width))) if found is None else (np.array(found["mean"]), np.array(found["cov"]).reshape(width, width))
     values, axes = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1][:k]
     parts = axes[:, order].T
