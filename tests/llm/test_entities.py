@@ -215,9 +215,24 @@ def test_percentiles(spark):
     for r in out:
         v = sorted(values[r["robot_id"], r["field"], r["joint_index"]])
         exact = v[max(1, math.ceil(r["percentile"] * len(v))) - 1]
-        assert r["n"] == len(v) and abs(r["estimate"] - exact) <= max(r["error_bound"], abs(exact) * 1e-12) and r["error_bound"] == 1 / 2048
+        assert r["n"] == len(v) and abs(r["estimate"] - exact) <= r["error_bound"] <= abs(exact) / 2**10
     # days kept apart and combined later give the same
     parts = [counts.where(F.pmod(F.hash("day"), F.lit(2)) == k) for k in (0, 1)]
     again = percentiles.bisect_percentiles(percentiles.merge_counts(parts[0].unionByName(parts[1]))).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
     assert percentiles.bisect_percentiles(counts.limit(0)).count() == 0
+
+
+def test_cells():
+    """Cells lie in the order of the values, and a value is within half a cell's width of its middle, at any scale."""
+    rng = np.random.default_rng(0)
+    x = np.sort(np.concatenate([rng.normal(size=2000) * 10.0 ** rng.integers(-300, 300, 2000), [0.0, -0.0, 5e-324, -5e-324, 1.0, -1.0, 2.0, np.finfo(float).max, -np.finfo(float).max]]))
+    cell = percentiles.cells_of(x)
+    middle, error = percentiles.cell_middle(cell)
+    assert (np.diff(cell) >= 0).all() and np.abs(cell).max() < 1 << 23
+    assert (np.abs(middle - x) <= error).all()
+    normal = np.abs(x) > 1e-300
+    assert (error[normal] <= np.abs(x[normal]) / 2**10).all()
+    packed = [(percentiles._packed(np.array(c), np.array(n)), len(c)) for c, n in (([-5, 0, 7], [1, 2, 3]), ([0, 9], [4, 5]), ([-4_000_000, 4_000_000], [1, 1 << 40]))]
+    cells, n = percentiles._merged(packed * 70)
+    assert dict(zip(cells.tolist(), n.tolist(), strict=True)) == {-4_000_000: 70, -5: 70, 0: 420, 7: 210, 9: 350, 4_000_000: 70 << 40}

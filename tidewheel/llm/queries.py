@@ -38,11 +38,11 @@ def p4_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles.bisect_percentiles(p6_day_counts(spark, d))
+    return percentiles.bisect_percentiles(percentiles.day_counts(table(spark, d, "frames"), table(spark, d, "episodes")))
 
 
 def p6_day_counts(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles.day_counts(table(spark, d, "frames"), table(spark, d, "episodes"))
+    return percentiles.open_counts(percentiles.day_counts(table(spark, d, "frames"), table(spark, d, "episodes")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +96,8 @@ _VALUES = """
         union all select e, r, 'action', cast(j as bigint), cast(a[j + 1] as double) from a, range(7) t(j)),
     y as (select cast(r at time zone 'UTC' as date) "day", robot_id, field, joint_index, v from x join b on x.e = b.e where v is not null and isfinite(v) and r is not null)"""
 
+_MIDDLE = "coalesce(sign(v) * (floor(abs(v) / power(2, floor(log2(nullif(abs(v), 0))) - 10)) + 0.5) * power(2, floor(log2(nullif(abs(v), 0))) - 10), 0)"
+
 SQL: dict[str, str] = {
     "p1_found": """
         with r as (select distinct reading_id, episode_index, cast("timestamp" as double) t from marker_readings where "timestamp" is not null),
@@ -113,9 +115,9 @@ SQL: dict[str, str] = {
         r as (select a v, a w from n union select r.v, n.b from r join n on r.w = n.a),
         g as (select r.v, min(r.w) group_id, count(*) n from r join (select distinct v from e) k on r.w = k.v group by 1)
         select g.v episode_index, group_id from g join (select distinct v from e) k on g.v = k.v where n > 1""",
-    "p6_percentiles": _VALUES + """,
+    "p6_percentiles": _VALUES + f""",
         z as (select *, row_number() over (partition by robot_id, field, joint_index order by v) k, count(*) over (partition by robot_id, field, joint_index) n from y)
-        select robot_id, field, joint_index, p percentile, n, (floor(v * 1024) + 0.5) / 1024 estimate, cast(1.0 / 2048 as double) error_bound
+        select robot_id, field, joint_index, p percentile, n, {_MIDDLE} estimate, coalesce(power(2, floor(log2(nullif(abs(v), 0))) - 11), power(2, -1032)) error_bound
         from z, (values (0.01::double), (0.05::double), (0.5::double), (0.95::double), (0.99::double)) q(p) where k = greatest(1, ceil(p * n))""",
-    "p6_day_counts": _VALUES + " select \"day\", robot_id, field, joint_index, floor(v * 1024) cell, cast(count(*) as bigint) n from y group by all",
+    "p6_day_counts": _VALUES + f" select \"day\", robot_id, field, joint_index, {_MIDDLE} middle, cast(count(*) as bigint) n from y group by all",
 }
