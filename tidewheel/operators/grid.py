@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.operators.chunks import floats, ints, matrix, starts_of, whole_groups
-from tidewheel.session import attach, exact, keep, partitions
+from tidewheel.session import attach, cut, exact, partitions
 
 #: Rank of the factorisation, and alternations.
 RANK, ROUNDS = 16, 3
@@ -244,8 +244,8 @@ def onto_grid(frames: DataFrame, episodes: DataFrame, field: str = "observation.
     in the result where they were observed, do not bend the fill. A missing cell is `filled` if its row has SUPPORT readings that take
     part and one of them within REACH points on both sides; otherwise its element is null and the point is `marked`.
 
-    The windows are written once, as a Parquet table in the checkpoint folder, and read by each alternation; `session.keep` removes it
-    when the program ends.
+    The windows are written once, as a Parquet table in the checkpoint folder, and read by each alternation; it is
+    removed when the program ends.
 
     Frames with null or not-finite timestamp, null field or null episode_index take no part (but any timestamp counts for the last one);
     null elements are missing cells; episodes without a row in episodes, without a positive fps or without any timestamp give no row.
@@ -271,7 +271,7 @@ def onto_grid(frames: DataFrame, episodes: DataFrame, field: str = "observation.
     read = read.withColumn("k", nearest).where(k >= 0).withColumn("gap", F.abs(t - k / F.col("fps")))
     given = read.select("episode_index", F.explode(blocks).alias("block"), F.lit(None).cast("int").alias("fps"), F.lit(None).cast("long").alias("points"), "k", "gap", "frame_index", "state")
     rows = own.unionByName(given).repartition(partitions(frames), "episode_index", "block").sortWithinPartitions("episode_index", "block", "k", "gap", "frame_index")
-    windows = keep(rows.mapInArrow(_windows(width), _WINDOW), "grid")
+    windows = cut(rows.mapInArrow(_windows(width), _WINDOW), "grid")
     model = first_model()
     r = model.basis.shape[1]
     for _ in range(rounds):

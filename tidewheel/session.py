@@ -44,14 +44,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the checkpoint folder, so that lost executors cost nothing that was finished."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written as a Parquet table in the checkpoint folder, so that lost executors cost nothing that was finished.
 
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the checkpoint folder: smaller than a checkpoint, and read by columns. Removed when the program ends."""
+    Unlike a checkpoint it is read by columns and Spark knows its true size: of a checkpoint it keeps the estimate of what was computed,
+    which multiplies with each join until planning alone takes minutes. The table is removed when the program ends.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -98,12 +96,12 @@ def _bytes(df: DataFrame) -> int:
 def attach(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join a narrow dimension with one row per key to a fact table.
 
-    The dimension is measured first (one whose inputs may be large is kept, so that this costs no second run): up to max_bytes it is
+    The dimension is measured first (one whose inputs may be large is written, so that this costs no second run): up to max_bytes it is
     broadcast; a larger one is copied JOIN_SALTS times and joined on (key, salt), so that a key with a third of all facts is still
     spread over JOIN_SALTS tasks. The salt is a hash of the fact's plain columns: the same again if a lost task is run again.
     """
     if size_of(dim) * 4 > max_bytes:
-        dim = keep(dim, "dimension")
+        dim = cut(dim, "dimension")
     if _bytes(dim) <= max_bytes:
         return fact.join(F.broadcast(dim), key, how)
     salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(JOIN_SALTS - 1).cast("long"))))
