@@ -98,6 +98,28 @@ def test_components(spark, shape, small):
     assert found_groups(components.components(df, small)) == union_find(links)
 
 
+def test_member_links(spark):
+    """A key with a third of all members gives no long list of neighbours, and all members of a key hang together."""
+    rows = [("hot", i) for i in range(20_000)] + [(f"k{i % 4000}", i + (i % 3 == 0) * 20_000) for i in range(40_000)] + [(None, 1), ("x", None), ("one", 70_000)]
+    links = components.member_links(spark.createDataFrame(rows, "key string, v long").repartition(4)).collect()
+    degree = {}
+    for a, b in links:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    assert max(degree.values()) < 500
+    first = {}
+    star = [(v, first.setdefault(k, v)) for k, v in rows if k is not None and v is not None]
+    assert union_find([(r["a"], r["b"]) for r in links]) == {g for g in union_find(star) if len(g) > 1}
+
+
+def test_components_hot(spark):
+    """Large enough for several partitions: a star, long paths and random parts together."""
+    rng = np.random.default_rng(4)
+    links = [(0, i) for i in range(1, 4000)] + [(10_000 + i, 10_001 + i) for i in range(3000)] + [(int(a), int(b)) for a, b in rng.integers(20_000, 30_000, (9000, 2)) if a != b] + [(3999, 10_000)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    for small in (500_000, 100):
+        assert found_groups(components.components(df, small)) == union_find(links)
+
+
 def episodes_of(spark, rows):
     return spark.createDataFrame(rows, "episode_index long, session_id string, source_episode_index long").select("*", F.lit(1).alias("v"), F.lit("k").alias("key"), F.lit(1).alias("Session_Id"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,76 +13,77 @@ from pyspark.sql import functions as F
 
 from tidewheel.session import attach, cut, exact
 
-#: Links of the graph of seed labels up to which one task merges them; a larger one is searched in the same way again.
+#: Links of the graph of seed labels up to which one task merges them; a larger one is searched in the same way again, with the same result.
 SMALL_LINKS = 500_000
-#: Members of one key are linked over so many middle ones, so that no list of neighbours grows with a hot key alone.
-MIDDLES = 256
-#: A group with at least this share of all frames is placed by itself; there are at most 1 / share of them.
-LARGE_SHARE = 1 / 200
-
-
-def member_links(members: DataFrame) -> DataFrame:
-    """Links (a, b) that join all members v of each key: two levels of stars with small centres. members: key, v; nulls are left out."""
-    m = members.where("key is not null and v is not null").select("key", "v", F.pmod(F.xxhash64("v"), F.lit(MIDDLES)).alias("part")).distinct()
-    middle = m.groupBy("key", "part").agg(F.min("v").alias("mid"))
-    top = middle.groupBy("key").agg(F.min("mid").alias("top"))
-    one = m.join(middle, ["key", "part"]).select(F.col("v").alias("a"), F.col("mid").alias("b"))
-    two = middle.join(top, "key").select(F.col("mid").alias("a"), F.col("top").alias("b"))
-    return one.unionByName(two).where("a <> b").distinct()
-
-
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while (up := parent.setdefault(root, root)) != root:
-            root = up
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x, y = find(a), find(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    labels = sorted(parent)
-    yield pa.RecordBatch.from_pydict({"label": np.array(labels, np.int64), "root": np.array([find(x) for x in labels], np.int64)})
+#: Binary digits of the hash by which the members of a key are parted at each level: 2 ** FAN_BITS nodes are linked to one of the level above.
+FAN_BITS = 6
+#: Hash orders of the groups that a split chooses from.
+ORDERS = 16
+
+
+def member_links(members: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
+    """Links (a, b) that join all members v of each key; nulls are left out. members: key, v.
+
+    A tree over the digits of the members' hash: at each level the nodes that share key and prefix are linked to the smallest of them,
+    which goes on to the level above. So no node has more than about 2 ** fan_bits links per level, however hot a key is, and no task
+    sees more of a key than that at once.
+    """
+    m = cut(members.where("key is not null and v is not null").select("key", "v").distinct().withColumn("h", F.xxhash64("v")))
+    most = m.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    links, level = [], max(1, math.ceil(math.log2(most) / fan_bits))
+    for k in reversed(range(level)):
+        prefix = F.shiftrightunsigned("h", 64 - k * fan_bits) if k else F.lit(0)
+        tied = cut(m.withColumn("prefix", prefix).withColumn("mid", F.min("v").over(Window.partitionBy("key", "prefix"))))
+        links.append(tied.where("v <> mid").select(F.col("v").alias("a"), F.col("mid").alias("b")))
+        m = tied.where("v = mid").select("key", "v", "h")
+    return functools.reduce(DataFrame.unionByName, links).distinct()
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each label's root, by hooking the larger of two linked roots to the smaller and shortening the paths, all links at once."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    pairs = pa.Table.from_batches(held)
+    labels, at = np.unique(np.concatenate([pairs.column(0).to_numpy(), pairs.column(1).to_numpy()]), return_inverse=True)
+    a, b = np.split(at, 2)
+    root = np.arange(len(labels))
+    while (root[a] != root[b]).any():
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root != root[root]).any():
+            root = root[root]
+    yield pa.RecordBatch.from_pydict({"label": labels, "root": labels[root]})
 
 
 def components(links: DataFrame, small_links: int = SMALL_LINKS) -> DataFrame:
     """(v, root) for each vertex of the undirected links (a, b): root is one vertex of its component, the same for all of it.
 
-    Frontier breadth-first search: lists of neighbours are hash-partitioned once; seeds are the vertices whose hash is smallest among
-    their neighbours, so each component has one; all frontiers are expanded at once, a vertex takes the smallest label that reaches it,
-    and where two labels meet they are noted. The noted pairs are a smaller graph over the seeds, merged in one task if it has at most
-    small_links links, else by the same search. No links: no row.
+    Frontier breadth-first search: the lists of neighbours are hash-partitioned once, one row per neighbour; seeds are the vertices whose
+    hash is smallest among their neighbours, so each component has one; all frontiers are expanded at once, a vertex takes the smallest
+    label that reaches it first, and where two labels meet they are noted. A round writes only what it labelled. The noted pairs are a
+    smaller graph over the seeds, merged in one task if it has at most small_links links, else by the same search. No links: no row.
     """
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-    near = cut(both.groupBy(F.col("a").alias("v")).agg(F.collect_set("b").alias("next")))
-    own = F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("x"))
-    least = F.array_min(F.transform("next", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))
-    frontier = cut(near.where(own < least).select("v", F.col("v").alias("label")))
-    labels, met = frontier, []
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    near = cut(both.select(F.col("a").alias("v"), F.col("b").alias("next")))
+    least = near.groupBy("v").agg(F.min(F.struct(F.xxhash64("next").alias("h"), F.col("next").alias("x"))).alias("least"))
+    frontier = cut(least.where(F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("x")) < F.col("least")).select("v", F.col("v").alias("label")))
+    done, met = [frontier], []
     while not frontier.isEmpty():
-        reached = frontier.join(near, "v").select(F.explode("next").alias("v"), "label").distinct()
-        arrived = reached.groupBy("v").agg(F.collect_set("label").alias("found")).join(labels.withColumnRenamed("label", "had"), "v", "left")
-        step = cut(arrived.select("v", "had", "found", F.coalesce("had", F.array_min("found")).alias("label")))
-        met.append(step.select("label", F.explode("found").alias("other")).where("label <> other").select(F.least("label", "other").alias("a"), F.greatest("label", "other").alias("b")).distinct())
-        frontier = step.where("had is null").select("v", "label")
-        labels = cut(labels.unionByName(frontier))
-    if not met:
-        return labels.withColumnRenamed("label", "root")
-    pairs = met[0]
-    for more in met[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = cut(pairs.distinct())
-    n = pairs.count()
+        reached = frontier.join(near, "v").select(F.col("next").alias("v"), "label").distinct()
+        known = functools.reduce(DataFrame.unionByName, done).withColumnRenamed("label", "had")
+        step = cut(reached.join(known, "v", "left"))
+        frontier = cut(step.where("had is null").groupBy("v").agg(F.min("label").alias("label")))
+        done.append(frontier)
+        again = step.where("had is null").select("v", "label").join(frontier.withColumnRenamed("label", "had"), "v").select("had", "label")
+        pairs = step.where("had is not null").select("had", "label").unionByName(again).where("had <> label")
+        met.append(pairs.select(F.least("had", "label").alias("a"), F.greatest("had", "label").alias("b")).distinct())
+    labels = functools.reduce(DataFrame.unionByName, done)
+    pairs = cut(functools.reduce(DataFrame.unionByName, met).distinct()) if met else None
+    n = pairs.count() if pairs is not None else 0
     if n == 0:
         return labels.withColumnRenamed("label", "root")
     if n <= small_links:
-        merged = pairs.coalesce(1).mapInArrow(_union_find, "label long, root long")
+        merged = pairs.coalesce(1).mapInArrow(_merge, "label long, root long")
     else:
         merged = components(pairs, small_links).withColumnRenamed("v", "label")
     return attach(labels, cut(merged), "label", "left").select("v", F.coalesce("root", "label").alias("root"))
@@ -114,13 +117,29 @@ def _sizes(episodes: DataFrame, frames: DataFrame) -> DataFrame:
     return counted.unionByName(rest).groupBy("episode_index").agg(F.max("n_frames").alias("n_frames"))
 
 
-def split_related(episodes: DataFrame, frames: DataFrame, targets: DataFrame) -> DataFrame:
+def _laid_out(groups: DataFrame, bounds: list[tuple[str, float]], orders: list[int]) -> DataFrame:
+    """(order, group_id, size, split): the groups laid end to end in each of the hash orders, and the line cut at the bounds.
+
+    The running sum is taken over 1,024 ranges of the hash and then within each, never in one task.
+    """
+    rows = groups.withColumn("order", F.explode(F.array(*map(F.lit, orders)))).withColumn("h", F.xxhash64("group_id", "order")).withColumn("range", F.shiftrightunsigned("h", 54))
+    w = Window.partitionBy("order").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # 1,024 rows of each
+    ranges = rows.groupBy("order", "range").agg(F.sum("size").alias("n")).select("order", "range", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("order", "range").orderBy("h", "group_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(F.broadcast(ranges), ["order", "range"]).withColumn("middle", F.col("base") + F.sum("size").over(inner) - F.col("size") / 2)
+    split = F.lit(bounds[-1][0] if bounds else None).cast("string")
+    for s, top in reversed(bounds[:-1]):
+        split = F.when(F.col("middle") < top, F.lit(s)).otherwise(split)
+    return placed.select("order", "group_id", "size", split.alias("split"))
+
+
+def split_related(episodes: DataFrame, frames: DataFrame, targets: DataFrame, orders: int = ORDERS) -> DataFrame:
     """(episode_index, group_id, n_frames, split): every episode of either table in one split, related ones together.
 
-    Groups are laid end to end in the order of their hash and the line of all frames is cut at the target shares; a group lies where its
-    middle does. Groups with LARGE_SHARE of all frames or more are first given, largest first, to the split that lacks most. Episodes
-    without relations are groups of their own, those without frames included. targets: split, target_share; at most 1,000 rows; none
-    gives split null. The running sum is taken over 1,024 ranges of the hash and then within each, never in one task.
+    Groups are laid end to end in the order of a hash and the line of all frames is cut at the target shares; a group lies where its
+    middle does, whatever its size. Of `orders` such orders the one is taken whose shares come nearest to the targets (the first of
+    equals), so that a group with a third of all frames doesn't spoil them. Episodes without relations are groups of their own, those
+    without frames included. targets: split, target_share; at most 1,000 rows; none gives split null.
     """
     names = [r for r in exact(targets, "split", "target_share").where("split is not null and target_share > 0").orderBy("split").limit(1_001).collect()]
     if len(names) > 1_000:
@@ -130,32 +149,16 @@ def split_related(episodes: DataFrame, frames: DataFrame, targets: DataFrame) ->
     groups = cut(rows.groupBy("group_id").agg(F.sum("n_frames").alias("size")))
     total = groups.agg(F.sum("size")).first()[0] or 0
     shares = {r["split"]: r["target_share"] for r in names}
-    lack = {s: x * total / sum(shares.values()) for s, x in shares.items()}
-    placed, given = [], 0
-    for r in groups.where(F.col("size") >= max(1, total * LARGE_SHARE)).orderBy(F.desc("size"), "group_id").collect() if lack else []:  # at most 1 / LARGE_SHARE rows
-        s = max(lack, key=lambda x: (lack[x], x))
-        lack[s] -= r["size"]
-        given += r["size"]
-        placed.append((r["group_id"], s))
-    large = rows.sparkSession.createDataFrame(placed, "group_id long, put string")
-    small = groups.join(F.broadcast(large), "group_id", "left")
-    rest = small.where("put is null").withColumn("h", F.xxhash64("group_id")).withColumn("range", F.shiftrightunsigned("h", 54))
-    ranges = rest.groupBy("range").agg(F.sum("size").alias("range_size"))
-    w = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # 1,024 rows
-    ranges = ranges.select("range", F.coalesce(F.sum("range_size").over(w), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("range").orderBy("h", "group_id").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("base") + F.sum("size").over(inner) - F.col("size") / 2
-    need = {s: max(0.0, x) for s, x in lack.items()}
-    scale = (total - given) / max(1e-9, sum(need.values()))
-    split, edge = F.lit(None).cast("string"), 0.0
-    bounds = []
-    for s in sorted(need):
-        edge += need[s] * scale
-        bounds.append((s, edge))
-    for k, (s, top) in enumerate(reversed(bounds)):
-        split = F.lit(s) if k == 0 else F.when(F.col("middle") < top, F.lit(s)).otherwise(split)
-    put = rest.join(F.broadcast(ranges), "range").withColumn("middle", middle).select("group_id", split.alias("split"))
-    put = put.unionByName(large.select("group_id", F.col("put").alias("split")))
+    whole = sum(shares.values())
+    edges = np.cumsum([shares[s] / whole * total for s in sorted(shares)])
+    bounds = list(zip(sorted(shares), map(float, edges), strict=True))
+    best = 0
+    if bounds and total:
+        got: dict[int, dict[str, int]] = {}
+        for r in _laid_out(groups, bounds, list(range(orders))).groupBy("order", "split").agg(F.sum("size").alias("size")).collect():  # orders x splits rows
+            got.setdefault(r["order"], {})[r["split"]] = r["size"]
+        best = min(got, key=lambda k: (max(abs(got[k].get(s, 0) / total - x / whole) for s, x in shares.items()), k))
+    put = _laid_out(groups, bounds, [best]).select("group_id", "split")
     return attach(rows, cut(put), "group_id").select("episode_index", "group_id", "n_frames", "split")
 
 
