@@ -113,15 +113,79 @@ def test_leak_edges(spark):
     assert leaks.leaks(spark.createDataFrame([(1, text)], DOCS), items.limit(0)).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 4), max_size=60), st.lists(st.integers(1, 6), min_size=5, max_size=12))
-def test_suffix_search(text, test):
-    a, t = np.array(text, np.int64), np.array(test, np.int64)
-    sa, key, ranks = leaks.suffix_array(a)
-    windows = t[np.arange(len(t) - 4)[:, None] + np.arange(5)]
-    low, high = leaks.search(key, ranks, windows) if len(sa) else (np.zeros(len(windows), int),) * 2
-    for w, i, j in zip(windows, low, high, strict=True):
-        assert sorted(sa[i:j]) == [k for k in range(len(a) - 4) if list(a[k : k + 5]) == list(w)]
+def known_suffix(a, k, longest):
+    """The units from k on, up to an unknown one or `longest`."""
+    out = a[k : k + longest]
+    return out[: out.index(0)] if 0 in out else out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=90), st.lists(st.integers(1, 4), min_size=5, max_size=40), st.sampled_from([5, 9, 16, 40]), st.booleans())
+def test_suffix_array(text, test, longest, repeated):
+    """All suffixes in true order, searches that find each place, and the longest match of every test suffix."""
+    text = text * 2 if repeated else text
+    a, t = np.array([*text, *[0] * 8], np.int64), np.array([*test, *[0] * 8], np.int64)
+    sa = leaks.suffix_array(a[:-8], longest)
+    assert sorted(sa) == [k for k in range(len(text) - 4) if all(text[k : k + 5])]
+    kept = [known_suffix(text, k, longest) for k in sa]
+    assert kept == sorted(kept)
+    tests = np.arange(len(test) - 4)
+    low, high = leaks.search(a, sa, t, tests, 5)
+    best = leaks.longest_matches(a, sa, t, tests, longest) if len(sa) else np.zeros(len(tests), int)
+    for k, i, j, n in zip(tests, low, high, best, strict=True):
+        places = [p for p in range(len(text)) if text[p : p + 5] == test[k : k + 5]]
+        assert sorted(sa[i:j]) == places
+        if places or n >= 5:
+            assert n == min(longest, max(next((m for m in range(len(test) - k) if text[p + m : p + m + 1] != [test[k + m]]), len(test) - k) for p in places))
+
+
+@pytest.mark.parametrize(
+    "between",
+    [
+        "<span class='" + "x" * 5_000 + "'>", "<!-- " + "a word of a comment " * 300 + " -->", "<a\nhref='" + "y/" * 2_000 + "'\n>", "</b><!---->",
+        *(f"\n{n}. " for n in (1, 100, 1000, 1001, 123_456)), "\n(xxviii) ", "\n第一",
+    ],
+)
+def test_markup_of_any_length(spark, between):
+    """Markup and numbering inside a passage don't hide it, however long they are."""
+    text = " ".join(WORDS[:23])
+    zh = between == "\n第一"
+    broken = " ".join(WORDS[:8]) + (" " if between.startswith("<") else "") + between.replace("第一", "") + " ".join(WORDS[8:16]) + " " + (between if between.startswith("<") else "") + " ".join(WORDS[16:23])
+    link = " ".join(WORDS[:8]) + f" [{WORDS[8]}](http://" + "z" * 3_000 + ' "a title") ' + " ".join(WORDS[9:23])
+    items = spark.createDataFrame([(5, "en", text)], ITEMS)
+    for t in (broken, link) if not zh else (link,):
+        assert leaks.leaks(spark.createDataFrame([(1, t)], DOCS), items).collect()[0][:3] == (1, 5, 23)
+
+
+def test_plain_text_is_linear():
+    """Texts of unclosed markup take time in proportion to their length."""
+    for part in ("<!-- ", "<a ", "[", "[x](", "1.", "- ", "&", "\\u00", "<", "](", "1.1)", "ivx"):
+        import time
+
+        took = []
+        for n in (50_000, 200_000):
+            began = time.perf_counter()
+            leaks.plain_text(part * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * took[0] + 0.5, part
+
+
+def test_common_seed(spark):
+    """One seed at very many places is followed up in blocks, and every document that holds the passage is found."""
+    passage = WORDS[:20]
+    items = spark.createDataFrame([(5, "en", " ".join(passage)), (6, "en", " ".join(passage[:5] + WORDS[50:70]))], ITEMS)
+    docs = [(i, " ".join(passage[:5]) + " zz " + " ".join(passage if i % 10 == 0 else passage[3:9])) for i in range(400)]
+    old, leaks.PLACES = leaks.PLACES, 37
+    try:
+        text = leaks.read_items([(5, "en", " ".join(passage))], False, set())
+        get = text.vocabulary.get
+        parts = [np.array([get(w, 0) for w in t.split()] + [0]) for _, t in docs]
+        begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        assert {m[1] for m in leaks.matches(text, np.concatenate(parts), begin, 15)} == set(range(0, 400, 10))
+    finally:
+        leaks.PLACES = old
+    got = leaks.leaks(spark.createDataFrame(docs, DOCS), items, 2_000, 1).collect()
+    assert {(r["doc_id"], r["item_id"], r["verbatim"]) for r in got} == {(i, 5, 20) for i in range(0, 400, 10)}
 
 
 @settings(max_examples=100, deadline=None)
