@@ -218,7 +218,7 @@ def test_mix(spark):
     wanted = {r["source"]: r for r in mixing.demand(counts, targets).collect()}
     total = sum(sizes.values())
     assert set(wanted) == {"hot", "a", "b", "tiny", "absent"} and wanted["a"]["wanted"] == pytest.approx(0.2 * total)
-    short = {r["source"] for r in mixing.short_sources(mixing.demand(counts, targets)).collect()}
+    short = {r["source"] for r in mixing.short_sources(counts, targets).collect()}
     assert short == {s for s, r in wanted.items() if r["capacity"] < r["wanted"]} and {"tiny", "absent"} <= short
     mixed = mixing.mix(counts, targets)
     rows = mixed.collect()
@@ -233,6 +233,7 @@ def test_mix(spark):
     assert by["tiny"] == wanted["tiny"]["capacity"] and max(uses.values()) <= 4 and len({(r["doc_id"], r["repeat"]) for r in rows}) == len(rows)
     report = {r["source"]: r for r in mixing.reached_shares(counts, targets, mixed).collect()}
     assert sum(r["actual_share"] for r in report.values()) == pytest.approx(1) and report["tiny"]["short"] and not report["hot"]["short"] and report["absent"]["mixed_tokens"] == 0
+    assert all(r["missing_tokens"] == pytest.approx(max(0, r["target_share"] * total - r["mixed_tokens"])) and r["share_of_all"] == pytest.approx(r["mixed_tokens"] / total) for r in report.values())
     assert rows == mixing.mix(counts, targets).collect()
 
 
@@ -262,7 +263,7 @@ def test_mix_empty(spark):
 # 9
 
 _PARTS = st.one_of(
-    st.text(max_size=40), st.sampled_from(["\n\n", "\n", "# Head\n", "## Sub\n", "- item ", "1. step\n", ". ", "。", "a" * 300, "漢字" * 40, "🙂" * 30, " ", "\t", "| a | b |\n", "word " * 50, "\r\n", "**x** wrote:\n"])
+    st.text(max_size=40), st.sampled_from(["\n\n", "\n", "# Head\n", "## Sub\n", "- item ", "1. step\n", ". ", "。", "a" * 300, "漢字" * 40, "🙂" * 30, " ", "\t", "| a | b |\n", "word " * 50, "\r\n", "**x** wrote:\n", "```\n", "~~~ py\n", "<table>\n", "</table>\n", "<ul><li>", "</ul>"])
 )
 
 
@@ -296,6 +297,25 @@ def test_natural_boundaries():
     assert all(text[lo - o - 1].isspace() for _, lo, _, o, _ in out[1:])
 
 
+@pytest.mark.parametrize(
+    ("begin", "line", "end"),
+    [("```python\n", "# step {0}\nrun(x, {0})\n\n", "```\n"), ("~~~\n", "## part {0}. Then go on.\n", "~~~~\n"), ("", "| row {0} | some words. Other words |\n", ""), ("<table>\n", "<tr><td>cell {0}</td></tr>\n\n", "</table>\n"), ("<ul>\n", "<li><ul><li>item {0}</li></ul></li>\n", "</ul>\n")],
+)
+def test_blocks_that_fit_stay_whole(begin, line, end):
+    prose = lambda n: "".join(f"Sentence number {i} of some prose, with clauses. " for i in range(n)) + "\n"
+    size = lambda t: len(encoding(VOCABULARY).encode_ordinary(t))
+    fitting = begin + "".join(line.format(i) for i in range(25)) + end
+    large = begin + "".join(line.format(i) for i in range(200)) + end
+    assert size(fitting) < 700 < 1100 < size(large)
+    for before in (3, 40, 71, 97):
+        text = prose(before) + fitting + prose(60) + "\n# Head\n" + fitting + prose(9) + large + fitting
+        at = [i for i in range(len(text)) if text.startswith(fitting, i)]
+        out = checked(text, 1000, 100)
+        assert len(at) >= 3 and all(any(lo <= i and i + len(fitting) <= hi for _, lo, hi, *_ in out) for i in at)
+    inner = [lo for _, lo, *_ in out if text.index(large) < lo < text.index(large) + len(large)]
+    assert inner and all(text[lo - 1] == "\n" for lo in inner)
+
+
 def test_long_and_odd_texts(spark):
     rows = [(1, None), (2, ""), (3, "short"), (4, "x" * 200_000), (5, "漢" * 30_000), (6, "word " * 100_000), (6, "word " * 2_000), (None, "y z " * 3_000), (7, "\n" * 50_000), (8, "a. " * 900)]
     out = pieces.split_oversized(spark.createDataFrame(rows, DOCS).select("*", F.lit(1).alias("piece_index"), F.lit("q").alias("TEXT"))).toPandas()

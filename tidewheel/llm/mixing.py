@@ -59,11 +59,6 @@ def demand(counts: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.withColumn("mean_tokens", F.coalesce(F.try_divide("source_tokens", "source_docs"), F.lit(0.0)))
 
 
-def short_sources(wanted: DataFrame) -> DataFrame:
-    """The sources that cannot reach their share even when each document is used max_repeats times."""
-    return wanted.where("capacity < wanted").select("source")
-
-
 def curriculum(wanted: DataFrame, tilt: float = TILT) -> DataFrame:
     """A tilt a per source: its weight at time t of training (0 to 1) is proportional to used * (1 - a + 2 a t).
 
@@ -104,8 +99,22 @@ def mix(counts: DataFrame, targets: DataFrame, tilt: float = TILT, seed: int = 7
 
 
 def reached_shares(counts: DataFrame, targets: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Per source: target and actual share of the mix's tokens, its tokens and uses, the most uses of one document, and whether it is short."""
+    """What a mix came to, one row per source of the targets, also those without a document.
+
+    Columns: source, target_share, actual_share (of the mix's tokens), share_of_all (of all documents' tokens), max_repeats,
+    source_tokens, mixed_tokens, missing_tokens (of target_share of all documents' tokens), uses, most_uses (of one document), short. A
+    source is short if the mix uses all its tokens max_repeats times and still holds less than the source's share.
+    """
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), F.count("*").alias("uses"), (F.max("repeat") + 1).alias("most_uses"))
     rows = demand(counts, targets).join(got, "source", "left").fillna(0, ["mixed_tokens", "uses", "most_uses"])
-    share = F.coalesce(F.try_divide(F.col("mixed_tokens"), F.sum("mixed_tokens").over(Window.partitionBy())), F.lit(0.0))  # at most MOST_SOURCES rows
-    return rows.select("source", "target_share", share.alias("actual_share"), "max_repeats", "source_tokens", "mixed_tokens", "uses", "most_uses", (F.col("capacity") < F.col("wanted")).alias("short"))
+    share = lambda total: F.coalesce(F.try_divide(F.col("mixed_tokens"), total), F.lit(0.0))
+    short = (F.col("mixed_tokens") >= F.col("max_repeats") * F.col("source_tokens")) & (F.col("mixed_tokens") < F.col("wanted"))
+    return rows.select(
+        "source", "target_share", share(F.sum("mixed_tokens").over(Window.partitionBy())).alias("actual_share"), share(F.col("all_tokens")).alias("share_of_all"), "max_repeats",  # at most MOST_SOURCES rows
+        "source_tokens", "mixed_tokens", F.greatest(F.lit(0.0), F.col("wanted") - F.col("mixed_tokens")).alias("missing_tokens"), "uses", "most_uses", short.alias("short"),
+    )
+
+
+def short_sources(counts: DataFrame, targets: DataFrame) -> DataFrame:
+    """The sources that the mix leaves short, though it uses each of their documents max_repeats times."""
+    return reached_shares(counts, targets, mix(counts, targets)).where("short").select("source")

@@ -25,6 +25,40 @@ _LEVELS = (
     r"(?<=\n)[ \t]*\n+(?=[^\n])", r"^(?![ \t])(?:[-*+•][ \t]|\(?\d{1,4}[.)][ \t]|\|)", r"^", r"^[ \t]+(?:[-*+•][ \t]|\d{1,4}[.)][ \t])", r"(?<=[.!?…][\s\"'”’)])(?=\S)|(?<=[。！？；])", r"(?<=[,;:，、：])", r"(?<=\s)(?=\S)",
 )
 _MATCHERS = tuple(re.compile(x, re.M | re.I) for x in _LEVELS)
+#: The level of blank lines, at which whole blocks begin and end too; headings lie above it.
+BLOCKS = 5
+_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$", re.M)
+_ROWS = re.compile(r"(?:^[ \t]*\|[^\n]*(?:\n|\Z)){2,}", re.M)
+_ELEMENT = re.compile(r"<(/?)(table|pre|ul|ol|dl|details|blockquote|section|article|figure)\b[^<>]*>", re.I)
+
+
+def fences(text: str) -> list[tuple[int, int]]:
+    """Fenced code, from the line that opens it to the end of the one that closes it; a fence that is never closed is none."""
+    out, mark, begin = [], "", 0
+    for m in _FENCE.finditer(text) if "```" in text or "~~~" in text else ():
+        if not mark:
+            if m[1][0] == "~" or "`" not in m[2]:
+                mark, begin = m[1], m.start()
+        elif m[1].startswith(mark) and not m[2].strip():
+            out.append((begin, min(m.end() + 1, len(text))))
+            mark = ""
+    return out
+
+
+def elements(text: str) -> list[tuple[int, int]]:
+    """Tables of rows that begin with a bar, and HTML blocks that begin a line, from their tag to the one that closes it."""
+    out = [m.span() for m in _ROWS.finditer(text)] if "|" in text else []
+    open_: dict[str, list[int]] = {}
+    for m in _ELEMENT.finditer(text) if "</" in text else ():
+        name = m[2].lower()
+        if not m[1]:
+            open_.setdefault(name, []).append(m.start())
+        elif open_.get(name):
+            begin = open_[name].pop()
+            line = text.rfind("\n", 0, begin) + 1
+            if not text[line:begin].strip():
+                out.append((begin, m.end() + (text[m.end() : m.end() + 1] == "\n")))
+    return out
 
 
 class Text:
@@ -40,6 +74,21 @@ class Text:
         #: Tokens that begin before each character position.
         self.tokens = np.searchsorted(np.concatenate([[0], self.ends[:-1]]) if len(self.ids) else self.ends, self.bytes, "left")
 
+        self.cuts: list[int] = []
+        self.whole: list[tuple[int, int]] = []
+        self.code: list[tuple[int, int]] = []
+
+    def find_blocks(self, most: int) -> None:
+        """Where blocks begin and end; those that fit stay whole, and in larger ones of code nothing is a heading."""
+        code = fences(self.text)
+        inside = _Within(code)
+        blocks = code + [x for x in elements(self.text) if not inside(x[0])]
+        self.cuts = sorted({p for x in blocks for p in x})
+        for lo, hi in sorted((x for x in blocks if self.size(*x) <= most), key=lambda x: (x[0], -x[1])):
+            if not self.whole or lo >= self.whole[-1][1]:
+                self.whole.append((lo, hi))
+        self.code = [x for x in code if self.size(*x) > most]
+
     def size(self, lo: int, hi: int) -> int:
         return int(self.tokens[hi] - self.tokens[lo]) + 1
 
@@ -48,10 +97,26 @@ class Text:
         return int(np.searchsorted(self.tokens, max(k, 0), "left"))
 
 
+class _Within:
+    """Whether a position lies inside one of these stretches, apart and in order, and not at its beginning."""
+
+    def __init__(self, stretches: list[tuple[int, int]]) -> None:
+        self.begin, self.end = [x for x, _ in stretches], [x for _, x in stretches]
+
+    def __call__(self, p: int) -> bool:
+        i = bisect.bisect_left(self.begin, p) - 1
+        return i >= 0 and p < self.end[i]
+
+
 def children(doc: Text, lo: int, hi: int, level: int) -> tuple[list[int], int]:
     """Where the node lo..hi divides at the first level from `level` on that divides it, and that level."""
+    whole, code = _Within(doc.whole), _Within(doc.code)
     for k in range(level, len(_MATCHERS)):
-        cuts = [p for m in _MATCHERS[k].finditer(doc.text, lo, hi) if lo < (p := m.end() if k == 5 else m.start()) < hi]
+        cuts = [p for m in _MATCHERS[k].finditer(doc.text, lo, hi) if lo < (p := m.end() if k == BLOCKS else m.start()) < hi and not whole(p)]
+        if k < BLOCKS and doc.code:
+            cuts = [p for p in cuts if not code(p)]
+        if k == BLOCKS and doc.cuts:
+            cuts = sorted({*cuts, *(p for p in doc.cuts[bisect.bisect_right(doc.cuts, lo) : bisect.bisect_left(doc.cuts, hi)] if not whole(p))})
         if cuts:
             return cuts, k
     return [], len(_MATCHERS)
@@ -95,6 +160,7 @@ def cut_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary:
     if len(doc.ids) <= limit:
         return []
     starts_word = [m.start() for m in re.finditer(r"(?<=\s)\S", text)]
+    doc.find_blocks(limit - overlap - SLACK)
     out: list[tuple[int, int, int, int, str]] = []
     begins = 0  # of the piece before, with its overlap
     for lo, hi in pack(doc, 0, len(text), limit - overlap - SLACK):
@@ -129,8 +195,9 @@ def _cut(limit: int, overlap: int, vocabulary: str):  # noqa: ANN202
 def split_oversized(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY) -> DataFrame:
     """Pieces of at most `limit` tokens of each text that has more: doc_id, piece_index, n_tokens, start_char, end_char, overlap_chars, text.
 
-    A text is parsed into a tree of headings, blocks, list items, lines, sentences, clauses and words; only nodes above the limit are
-    opened, and what comes out is merged with its neighbours as far as it fits. n_tokens counts the piece as it is, what it repeats
+    A text is parsed into a tree of headings, blocks (paragraphs, fenced code, tables, HTML lists and the like), list items, lines,
+    sentences, clauses and words; only nodes above the limit (less overlap and slack) are opened, so code or a table that fits is never
+    cut and a comment line in code is no heading, and what comes out is merged with its neighbours as far as it fits. n_tokens counts the piece as it is, what it repeats
     included. Null and shorter texts give no row; a text without any boundary is cut between characters; doc_id may be null or
     repeated, as each row is cut by itself, in place and without a shuffle. An empty table gives no row; other columns are not read.
     """
