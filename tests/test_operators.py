@@ -349,3 +349,54 @@ def test_exact_percentiles(spark, most):
     counted = df.where("k = 1 and not isnan(x)").groupBy("k", "x").agg(F.count("*").alias("n"))
     assert stats.exact_percentiles(counted, ["k"], "x", [0.5], "n", most).first()["x"] == np.median(groups[1])
     assert stats.exact_percentiles(df.where("false"), ["k"], "x", [0.5]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_polls(seed):
+    """The chain of polls, by jumps, as it is followed time by time: rising times with ties, times that go back, and nulls."""
+    rng = np.random.default_rng(seed)
+    for n in (0, 1, 2, 7, 300):
+        t = np.cumsum(rng.choice([0.0, 0.01, 0.03, 0.1, 0.5], n))
+        if seed % 3 == 1:
+            t[rng.random(n) < 0.2] = math.nan
+        if seed % 3 == 2:
+            t -= rng.choice([0, 1.0], n, p=[0.9, 0.1])
+        for last in (None, 0.05, 1e9):
+            want, at = [], last
+            for x in t:
+                hit = not math.isnan(x) and (at is None or x - at >= 0.1)
+                at = x if hit else at
+                want.append(hit)
+            assert windows.polls(t, 0.1, last).tolist() == want
+
+
+def test_rate_limited_hold_over_batches(spark):
+    """Small Arrow batches carry the last poll on; nulls poll nothing."""
+    rng = np.random.default_rng(1)
+    rows = [(e, i, None if rng.random() < 0.05 else float(t), float(i) if rng.random() > 0.1 else None) for e in range(4) for i, t in enumerate(np.cumsum(rng.uniform(0, 0.1, 200)))]
+    df = spark.createDataFrame(rows, "ep long, fi long, t double, v double")
+    want, episode = {}, None
+    for e, i, t, v in rows:
+        if e != episode:
+            episode, last, at, held = e, None, None, None
+        if t is not None and (last is None or t - last >= 0.1 - 1e-5):
+            last, at, held = t, i, v
+        want[e, i] = (at, held)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {(r["ep"], r["fi"]): (r["polled_fi"], r["held"]) for r in windows.rate_limited_hold(df, "v", 10.0).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_numbered_and_sampled(spark):
+    df = spark.createDataFrame([("a", 5), ("b", 0), ("c", 3), ("d", None)], "k string, n long")
+    assert sorted((r["k"], r["i"]) for r in segments.numbered(df, "n", "i", 2).collect()) == [("a", i) for i in range(5)] + [("c", i) for i in range(3)]
+    rows = spark.range(5000)
+    for n in (0, 1, 700, 5000, 9000):
+        got = [r["id"] for r in sampling.hash_sample(rows, "id", n, 3).collect()]
+        assert len(set(got)) == len(got) == min(n, 5000)
+    assert set(r["id"] for r in sampling.hash_sample(rows, "id", 10, 3).collect()) == set(r["id"] for r in rows.orderBy(sampling.hash_order(F.col("id"), 3), "id").limit(10).collect())

@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -71,3 +72,23 @@ def test_windows(spark, tmp_path):
 def test_freshness(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 0.5), (1.0, 0.49), (1.0, 1.1), (1.0, None)], "now double, stamp double")
     assert [r[0] for r in df.coalesce(1).select(sessions.freshness(F.col("now"), F.col("stamp"))).collect()] == ["ok", "ok", "stale", "future", "stale"]
+
+
+def test_idle_clients_are_forgotten(spark, tmp_path):
+    """A client's state is dropped after its idle time: when it comes back it begins a first session again."""
+    (tmp_path / "in").mkdir()
+    put = lambda name, row: (tmp_path / f"in/{name}.json").write_text(json.dumps(dict(zip(NAMES, row, strict=True))) + "\n")
+    put("0", ("a", "infer", 5.0, "thumb", 5.0, 1.0))
+    stream = spark.readStream.schema(sessions.INPUT).json(str(tmp_path / "in"))
+    query = sessions.infer_stream(stream, 16, 10.0, idle_s=0.5).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        deadline = time.time() + 60
+        while spark.table("idle").count() < 1 and time.time() < deadline:
+            time.sleep(0.2)
+        time.sleep(3)
+        put("1", ("a", "infer", 1.0, "thumb", 1.0, 2.0))  # earlier than the last message: an error, were that not forgotten
+        while spark.table("idle").count() < 2 and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert sorted((r["now"], r["status"], r["session"]) for r in spark.table("idle").collect()) == [(1.0, "ok", 0), (5.0, "ok", 0)]

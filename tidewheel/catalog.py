@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewheel.plans import pipelines, recordings, relations, scans, timelines
+from tidewheel.plans import audits, pipelines, recordings, relations, scans, timelines
 
-_REGISTRIES = (scans.query, relations.query, timelines.query, pipelines.query)
+_REGISTRIES = (scans.query, relations.query, timelines.query, pipelines.query, audits.query)
 
 
 def queries() -> dict:

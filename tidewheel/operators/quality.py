@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.vectors import nonfinite
 from tidewheel.operators.segments import LENGTH, look_around, nearby, own_rows
+from tidewheel.operators.stats import exact_percentiles
 from tidewheel.session import attach
 
 ISSUE = "ep long, code string, severity string, key string, frame_start long, frame_end long, observed double"
@@ -106,7 +107,7 @@ def home_issues(measures: DataFrame, limits: Limits, home: list[float] | None =
     """Episodes that begin more than `home` off a reference: the given one, else the median of all first frames by dimension."""
     first = measures.select("ep", F.posexplode("first").alias("dim", "x"))
     if home is None:
-        reference = first.groupBy("dim").agg(F.percentile("x", 0.5).alias("home"))
+        reference = exact_percentiles(first, ["dim"], "x", [0.5]).select("dim", F.col("x").alias("home"))
     else:
         reference = measures.sparkSession.createDataFrame(list(enumerate(float(x) for x in home)), "dim int, home double")
     off = first.join(F.broadcast(reference), "dim").groupBy("ep").agg(F.max(F.abs(F.col("x") - F.col("home"))).alias("worst"))  # one row per dimension
@@ -119,12 +120,12 @@ def clock_issues(frames: DataFrame, aux: str, limits: Limits) -> DataFrame:
     due = 1.0 / limits.fps
     dt = F.col(aux) - F.lag(aux).over(nearby())
     rows = own_rows(look_around(frames.select("ep", "fi", "t", F.col(aux).cast("double").alias(aux)), before=1).withColumn("_d", dt))
-    period = rows.where((F.col("_d") > 0) & (F.col("_d") < float("inf"))).groupBy("ep").agg(F.percentile("_d", 0.5).alias("_p"))
+    period = exact_percentiles(rows.where("_d > 0"), ["ep"], "_d", [0.5]).select("ep", F.col("_d").alias("_p"))
     scales = (1.0, 1e-3, 1e-6, 1e-9)
     far = lambda s: F.abs(F.log10(F.greatest(F.col("_p") * s, F.lit(1e-15)) / due))
     scale = F.array_min(F.array(*(F.struct(far(s).alias("e"), F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(scales))))
     scaled = attach(rows, period.select("ep", scale["s"].alias("_s")), "ep", "left").withColumn("_x", F.col(aux) * F.coalesce("_s", F.lit(1.0)) - F.col("t")).where(~F.isnan("_x"))
-    offset = scaled.groupBy("ep").agg(F.percentile("_x", 0.5).alias("_o"))
+    offset = exact_percentiles(scaled, ["ep"], "_x", [0.5]).select("ep", F.col("_x").alias("_o"))
     g = attach(scaled, offset, "ep").withColumn("_r", F.abs(F.col("_x") - F.col("_o"))).groupBy("ep").agg(F.max("_r").alias("r"), F.max_by("fi", F.struct("_r", -F.col("fi"))).alias("f"), F.first("_o").alias("o"))
     found = F.array(
         _issue(F.col("r") > limits.sync_tolerance, "sensor_timestamp_misaligned", "error", aux, F.col("f"), F.col("f"), F.col("r")),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators.segments import positions
+from tidewheel.operators.segments import numbered, positions
+from tidewheel.session import cut, partitions
+
+#: Draws that one row is unfolded to at once.
+DRAWS = 65_536
 
 
 def linspace(i: Column, n: Column, m: Column) -> Column:
@@ -23,12 +27,23 @@ def spaced(groups: DataFrame, most: int, rounding: str = "even") -> DataFrame:
 
 
 def hash_order(key: Column, seed: int) -> Column:
-    return F.xxhash64(key, F.lit(seed))
+    """MD5 of seed and key, as any engine can take it: an order that is the same at every run and everywhere."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows in the order of a hash of their key: a sample of exact size that is the same at every run."""
-    return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
+    """n rows in the order of a hash of their key: a sample of exact size that is the same at every run.
+
+    The first n places are found by counting rows by the hash's leading digits, so no task holds the sample; only the rows up to the
+    digits in which the n-th lies are numbered.
+    """
+    rows = df.withColumn("_h", hash_order(F.col(key), seed))
+    lead = F.substring("_h", 1, 4)
+    counts = rows.groupBy(lead.alias("_lead")).agg(F.count("*").alias("_n"))  # at most 65,536 rows
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_lead")))
+    last = upto.where(F.col("_upto") >= n).agg(F.min("_lead")).first()[0]
+    held = rows if last is None else rows.where(lead <= last)
+    return positions(held, ["_h", key]).where(F.col("position") < n).drop("position", "_h")
 
 
 def batches(df: DataFrame, order: list[str], size: int, drop_last: bool = True) -> DataFrame:
@@ -53,12 +68,14 @@ def resample(df: DataFrame, source: str, key: str, weights: dict[str, float], se
     """
     if abs(sum(weights.values()) - 1) > 1e-6 or min(weights.values()) < 0:
         raise ValueError("weights must be positive and add up to 1")
-    counted = df.where(F.col(source).isin(list(weights))).withColumn("_k", F.xxhash64(key, F.lit(seed)))
-    placed = positions(counted, [source, "_k", key])
+    counted = df.where(F.col(source).isin(list(weights))).withColumn("_k", hash_order(F.col(key), seed))
+    placed = cut(positions(counted, [source, "_k", key]))
     sizes = placed.groupBy(source).agg(F.min("position").alias("_first"), F.count("*").alias("_size"))
     total = F.broadcast(df.agg(F.count("*").alias("_total")))  # one row
     weight = F.create_map(*(F.lit(x) for k, w in weights.items() for x in (k, float(w))))
     due = sizes.crossJoin(total).withColumn("_due", F.floor(F.col("_total") * F.element_at(weight, F.col(source))))
-    draws = due.where("_due > 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_due") - 1)))
-    draws = draws.select("draw", (F.col("_first") + F.pmod(F.xxhash64(source, "draw", F.lit(seed)), F.col("_size"))).alias("position"))
+    draws = numbered(due, "_due", "draw", DRAWS).repartition(partitions(df), "draw")
+    # 60 bits of a hash, so that rows of a source are drawn alike
+    pick = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(source), F.lit(":"), F.col("draw").cast("string"))), 1, 15), 16, 10).cast("long")
+    draws = draws.select("draw", (F.col("_first") + F.pmod(pick, F.col("_size"))).alias("position"))
     return draws.join(placed, "position").drop("position", "_k")

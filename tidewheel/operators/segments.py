@@ -101,3 +101,10 @@ def positions(df: DataFrame, order: list[str], size: Column | None = None, name:
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_in", F.coalesce(F.sum("_size").over(w), F.lit(0))).join(F.broadcast(before), "_pid")
     return placed.withColumn(name, F.col("_base") + F.col("_in")).drop("_pid", "_size", "_in", "_base")
+
+
+def numbered(groups: DataFrame, size: str, name: str, length: int = LENGTH) -> DataFrame:
+    """Every row once for each number from 0 to its size - 1, in two steps, so that no row makes a list longer than a segment."""
+    n = F.col(size).cast("long")
+    parts = groups.where(n > 0).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(length).cast("long"))))
+    return parts.withColumn(name, F.explode(F.sequence("_from", F.least(F.col("_from") + length, n) - 1))).drop("_from")

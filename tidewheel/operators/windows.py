@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,28 +63,76 @@ def replan(frames: DataFrame, horizon: int, anchor: str, length: int = LENGTH) -
     return carry_last(rows, F.when(F.col("replanned"), F.col(anchor)), "anchor", length).drop("_first")
 
 
+def polls(t: np.ndarray, wait: float, last: float | None) -> np.ndarray:
+    """Which of a series' times are polled: the first that lies `wait` or more after the last poll, and so on; the first of all if there was none.
+
+    Times that rise: each time's next poll is found by binary search, all at once, and the chain of polls by doubling its jumps. Times
+    that are null poll nothing; a series that goes back is followed time by time.
+    """
+    out = np.zeros(len(t), bool)
+    at = np.flatnonzero(~np.isnan(t))
+    x = t[at]
+    n = len(x)
+    if not n:
+        return out
+    if (np.diff(x) < 0).any():
+        for i, v in zip(at.tolist(), x.tolist(), strict=True):
+            if last is None or v - last >= wait:
+                out[i], last = True, v
+        return out
+    first = 0 if last is None else int(np.argmax(x - last >= wait)) if x[-1] - last >= wait else n
+    if first == n:
+        return out
+    jump = np.searchsorted(x, x + wait - 4 * np.spacing(np.abs(x) + wait), "left")
+    while (early := (jump < n) & (x[np.minimum(jump, n - 1)] - x < wait)).any():  # a sum rounds where a difference doesn't
+        jump[early] += 1
+    jump = np.append(np.maximum(jump, np.arange(n) + 1), n)
+    hit = np.zeros(n + 1, bool)
+    hit[first] = True
+    while True:
+        more = hit.copy()
+        more[jump[hit]] = True
+        if (more == hit).all() and (jump == n).all():
+            break
+        hit, jump = more, jump[jump]
+    out[at[hit[:n]]] = True
+    return out
+
+
 def rate_limited_hold(frames: DataFrame, value: str, hz: float) -> DataFrame:
     """Online hold: a frame is polled when 1 / hz seconds (less 1e-5) have passed since the last poll. Columns ep, fi, polled_fi, held.
 
-    Each poll depends on the one before, so an episode is folded in order in one task, over batches: memory doesn't grow with it.
+    Each poll depends on the one before, so an episode is folded in order in one task, a batch at a time, with one poll carried from
+    batch to batch: memory doesn't grow with it. A frame without a time holds what the one before does; before the first poll that is null.
     """
-    import numpy as np
-    import pyarrow as pa
-
     wait = 1.0 / hz - 1e-5
 
-    def fold(batches):  # noqa: ANN001, ANN202
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         episode = last = fi0 = held = None
         for b in batches:
-            ep, fi, t, v = (b.column(i).to_pylist() for i in range(4))
-            out_f, out_v = np.empty(len(ep), np.int64), np.empty(len(ep))
-            for i in range(len(ep)):
-                if ep[i] != episode or t[i] - last >= wait:
-                    episode, last, fi0, held = ep[i], t[i], fi[i], v[i]
-                out_f[i], out_v[i] = fi0, np.nan if held is None else held
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out_f), pa.array(out_v, from_pandas=True)], ["ep", "fi", "polled_fi", "held"])
-
-    rows = frames.select("ep", "fi", "t", F.col(value).cast("double").alias("v")).repartition("ep").sortWithinPartitions("ep", "fi")
+            if not b.num_rows:
+                continue
+            ep, fi = b.column(0).to_numpy(), b.column(1).to_numpy()
+            t, v = (b.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in (2, 3))
+            starts = np.flatnonzero(np.append(True, ep[1:] != ep[:-1]))
+            source = np.full(len(ep), -1)
+            for i, k in zip(starts, np.append(starts[1:], len(ep)), strict=True):
+                hit = i + np.flatnonzero(polls(t[i:k], wait, last if ep[i] == episode else None))
+                source[hit] = hit
+                source[i:k] = np.maximum.accumulate(source[i:k])
+                carried = source[i:k] < 0
+                keep = ep[i] == episode and fi0 is not None
+                out_f, out_v = fi[source[i:k]].astype(float), v[source[i:k]]
+                out_f[carried], out_v[carried] = (fi0, held) if keep else (np.nan, np.nan)
+                whole = pa.array(np.where(np.isnan(out_f), 0, out_f).astype(np.int64), mask=np.isnan(out_f))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k - i), b.column(1).slice(i, k - i), whole, pa.array(out_v, from_pandas=True)], ["ep", "fi", "polled_fi", "held"])
+                if len(hit):
+                    last, fi0, held = t[hit[-1]], fi[hit[-1]], v[hit[-1]]
+                elif not keep:
+                    last = fi0 = held = None
+                episode = ep[i]
+
+    rows = frames.select("ep", "fi", "t", F.col(value).cast("double").alias("v")).where("ep is not null").repartition("ep").sortWithinPartitions("ep", "fi")
     return rows.mapInArrow(fold, "ep long, fi long, polled_fi long, held double")
 
 

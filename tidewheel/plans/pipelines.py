@@ -105,9 +105,10 @@ def unnormalize_quantile(spark: SparkSession, d: str) -> DataFrame:
 def robust_normalize(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d)
     fine = F.when(~vectors.nonfinite(F.col("value")), F.col("value"))
-    q = f.groupBy("ep").agg(F.percentile(fine, F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.min(fine).alias("a"), F.max(fine).alias("b"))
-    wide = F.col("q")[1] > F.col("q")[0]
-    q = q.select("ep", F.when(wide, F.col("q")[0]).otherwise(F.col("a")).alias("lo"), F.when(wide, F.col("q")[1]).otherwise(F.col("b")).alias("hi"))
+    ends = stats.exact_percentiles(f, ["ep"], "value", [0.05, 0.95]).groupBy("ep").agg(F.max(F.when(F.col("p") < 0.5, F.col("value"))).alias("q0"), F.max(F.when(F.col("p") > 0.5, F.col("value"))).alias("q1"))
+    q = f.groupBy("ep").agg(F.min(fine).alias("a"), F.max(fine).alias("b")).join(ends, "ep", "left")
+    wide = F.col("q1") > F.col("q0")
+    q = q.select("ep", F.when(wide, F.col("q0")).otherwise(F.col("a")).alias("lo"), F.when(wide, F.col("q1")).otherwise(F.col("b")).alias("hi"))
     scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))))
     return attach(f, q, "ep").select("ep", "fi", (F.round(F.when(F.col("hi") > F.col("lo"), scaled).otherwise(0.0), 6) + 0.0).alias("x"))
 
@@ -153,11 +154,11 @@ def rtc_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {FRAMES}, n as (select ep, max(fi) m from f group by 1), c as (select f.ep, f.fi, i, case when f.fi + i <= m then g.value - f.value else 0 end dx from f join n using (ep), range(16) r(i), f g where g.ep = f.ep and g.fi = least(f.fi + i, m) and f.fi % 16 = 0)
+    f"""with {FRAMES}, n as (select ep, max(fi) m from f group by 1), c as (select f.ep, f.fi, i, case when f.fi + i <= m then g.value - f.value else 0 end dx from f join n using (ep), range(16) r(i), f g where g.ep = f.ep and g.fi = least(f.fi + i, m))
     select ep, fi, i step, round(dx * {_RTC}, 5) + 0.0 x from c"""
 )
 def rtc_prefix(spark: SparkSession, d: str) -> DataFrame:
-    rows = windows.chunks(frames(spark, d), ["value"], 16).where("fi % 16 = 0")
+    rows = windows.chunks(frames(spark, d), ["value"], 16)
     step = F.posexplode(F.arrays_zip(F.col("value_chunk").alias("x"), "pad")).alias("step", "c")
     shifted = rows.select("ep", "fi", "value", step).withColumn("step", F.col("step").cast("long"))
     moved = F.when(F.col("c.pad"), 0.0).otherwise(F.col("c.x") - F.col("value"))
@@ -346,8 +347,3 @@ def rewritten(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query(f"with {FRAMES}, {_PLAN} select ep, event_id, fi, t, \"index\" from rw")
 def trim_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return rewritten(spark, d)[0].select("ep", "event_id", "fi", "t", "index")
-
-
-@query("select unnest(['length', 'time', 'frame_index', 'index']) \"rule\", cast(0 as bigint) violations")
-def trim_validate(spark: SparkSession, d: str) -> DataFrame:
-    return trim.validate(*rewritten(spark, d))

@@ -67,17 +67,18 @@ def selected_only(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """with s as (select event_type, count(*) n from events group by 1), o as (select event_type, n, coalesce(sum(n) over (order by event_type rows between unbounded preceding and 1 preceding), 0) a from s)
-    select i idx, event_type dataset, cast(i - a as bigint) local_idx from range(0, 10000, 7) r(i) join o on i >= a and i < a + n"""
+    select i idx, event_type dataset, cast(i - a as bigint) local_idx from o, unnest(range(a::bigint, (a + n)::bigint)) r(i)"""
 )
 def concat_index(spark: SparkSession, d: str) -> DataFrame:
+    """Every index of the concatenated datasets with its owner and its place there."""
     n = segments.positions(table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")), ["event_type"], F.col("n"), "first")
     starts = n.select(F.col("first").alias("idx"), F.lit(0).alias("kind"), F.col("event_type").alias("dataset"))
-    asked = spark.range(0, 10_000, 7).select(F.col("id").alias("idx"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("dataset"))
+    total = n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    asked = spark.range(total).select(F.col("id").alias("idx"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("dataset"))
     # one ordered pass in place of an interval join: the starts are few, the indices are spread by range
-    ends = n.agg(F.sum("n").alias("total"))
     placed = segments.number_frames(starts.unionByName(asked).withColumn("ep", F.lit(0)).withColumn("us", F.col("idx")), "kind", 1 << 20)
     held = segments.carry_last(segments.carry_last(placed, F.col("dataset"), "owner"), F.when(F.col("kind") == 0, F.col("idx")), "first")
-    return held.where("kind = 1").crossJoin(F.broadcast(ends)).where("idx < total").select("idx", F.col("owner").alias("dataset"), (F.col("idx") - F.col("first")).alias("local_idx"))
+    return held.where("kind = 1").select("idx", F.col("owner").alias("dataset"), (F.col("idx") - F.col("first")).alias("local_idx"))
 
 
 @query(f"with {FRAMES} select ep, fi, last_value(case when event_type = 'click' then value end ignore nulls) over (partition by ep order by fi) held from f")
@@ -232,7 +233,10 @@ def hist_sql(rows: str, key: str) -> str:
 _NORM = f"{_DIMS}, {hist_sql('x', 'dim')}, st as (select dim, {_MOMENTS} from x group by 1)"
 
 
-@query(f"with {_NORM} select dim, round(mean, 6) mean, round(std, 6) std, round(q01, 6) q01, round(q99, 6) q99 from st join hq using (dim)")
+_NORM_STATS = f"with {_NORM} select dim, round(mean, 6) mean, round(std, 6) std, round(q01, 6) q01, round(q99, 6) q99 from st join hq using (dim)"
+
+
+@query(_NORM_STATS)
 def norm_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.norm_stats(dims(spark, d), "dim").drop("n"), ["mean", "std", "q01", "q99"])
 
@@ -253,10 +257,15 @@ def norm_stats_chunks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.norm_stats(stats.per_dim(rows, F.col("v")), "dim").drop("n"), ["mean", "std", "q01", "q99"])
 
 
-@query()
+@query(_NORM_STATS)
 def norm_stats_json(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics as the JSON document they are kept in, read again."""
     s = stats.as_vectors(stats.norm_stats(dims(spark, d), "dim"))
-    return s.select(F.to_json(F.struct(F.struct("mean", "std", "q01", "q99").alias("state"))).alias("norm_stats"))
+    names = ["mean", "std", "q01", "q99"]
+    doc = s.select(F.to_json(F.struct(F.struct(*names).alias("state"))).alias("doc"))
+    back = doc.select(F.from_json("doc", "state struct<" + ", ".join(f"{c}: array<double>" for c in names) + ">").alias("x")).select("x.state.*")
+    rows = back.select(F.posexplode(F.arrays_zip(*names)).alias("dim", "v")).select(F.col("dim").cast("long").alias("dim"), "v.*")
+    return rounded(rows, names)
 
 
 @query(f"with {_DIMS} select label, dim, min(x) low, max(x) high, round(avg(x), 6) mean, round(stddev_pop(x), 6) std, cast(count(*) as bigint) n from x group by all")
@@ -270,7 +279,11 @@ _FIRST = "first as (select label, arg_min(embedding, vec_id) v from embeddings g
 
 @query(f"with {_FIRST} select dim, home from home")
 def home_reference(spark: SparkSession, d: str) -> DataFrame:
-    return first_values(spark, d).groupBy("dim").agg(F.percentile("x", 0.5).alias("home"))
+    return median(first_values(spark, d), "dim", "x").withColumnRenamed("x", "home")
+
+
+def median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    return stats.exact_percentiles(rows, [key], value, [0.5]).drop("p")
 
 
 def first_values(spark: SparkSession, d: str) -> DataFrame:
@@ -281,7 +294,7 @@ def first_values(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_FIRST} select label, round(max(abs(x - home)), 6) deviation, max(abs(x - home)) > 0.25 flagged from fx join home using (dim) group by 1")
 def home_deviation(spark: SparkSession, d: str) -> DataFrame:
     x = first_values(spark, d)
-    home = F.broadcast(x.groupBy("dim").agg(F.percentile("x", 0.5).alias("home")))  # one row per dimension
+    home = F.broadcast(median(x, "dim", "x").withColumnRenamed("x", "home"))  # one row per dimension
     off = F.max(F.abs(F.col("x") - F.col("home")))
     return x.join(home, "dim").groupBy("label").agg(F.round(off, 6).alias("deviation"), (off > 0.25).alias("flagged"))
 
@@ -294,8 +307,8 @@ def first_frame(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {FRAMES}, o as (select ep, t - us / 1e6 + event_id % 17 * 0.25 off from f), m as (select ep, median(off) med from o group by 1) select ep, round(max(abs(off - med)), 4) residual from o join m using (ep) group by 1")
 def clock_alignment(spark: SparkSession, d: str) -> DataFrame:
     o = frames(spark, d).select("ep", (F.col("t") - F.col("us") / 1e6 + F.col("event_id") % 17 * 0.25).alias("off"))
-    med = o.groupBy("ep").agg(F.percentile("off", 0.5).alias("med"))
-    return o.join(med, "ep").groupBy("ep").agg(F.round(F.max(F.abs(F.col("off") - F.col("med"))), 4).alias("residual"))
+    med = median(o, "ep", "off").withColumnRenamed("off", "med")
+    return attach(o, med, "ep").groupBy("ep").agg(F.round(F.max(F.abs(F.col("off") - F.col("med"))), 4).alias("residual"))
 
 
 @query(
@@ -303,7 +316,7 @@ def clock_alignment(spark: SparkSession, d: str) -> DataFrame:
     s as (select k, scale, abs(log10(dt * scale / 0.0333)) e, i from g, (values (0, 1.0::double), (1, 1e-3::double), (2, 1e-6::double), (3, 1e-9::double)) v(i, scale)) select k, arg_min(scale, e) scale from s group by 1"""
 )
 def timestamp_scale(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.percentile("n_nationkey", 0.5).alias("m"))
+    g = median(table(spark, d, "nation").select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").cast("double").alias("m")), "k", "m")
     dt = F.col("m") * F.pow(F.lit(10.0), 3 * F.col("k") - 3) + 0.001
     scales = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("scale")) for i, x in enumerate((1.0, 1e-3, 1e-6, 1e-9))))).alias("s")
     rows = g.select("k", dt.alias("dt"), scales)
@@ -334,9 +347,9 @@ def sensor_audit(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("episode_index", "finger").agg(F.count_if(F.col("x") != 0).alias("nonzero"), F.round(F.avg("ch"), 6).alias("changed"), F.min("x").alias("low"), F.max("x").alias("high"))
 
 
-@query("with x as (select vec_id, i dim, cast(embedding[i + 1] as double) x from embeddings, range(6) r(i)) select a.dim i, b.dim j, round(covar_samp(a.x, b.x), 6) cov from x a join x b using (vec_id) where a.dim <= b.dim group by all")
+@query("with x as (select vec_id, i dim, cast(embedding[i + 1] as double) x from embeddings, range(64) r(i)) select a.dim i, b.dim j, round(covar_samp(a.x, b.x), 6) cov from x a join x b using (vec_id) where a.dim <= b.dim group by all")
 def covariance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.covariance(table(spark, d, "embeddings"), F.slice("embedding", 1, 6), 6), ["cov"])
+    return rounded(stats.covariance(table(spark, d, "embeddings"), F.col("embedding"), 64), ["cov"])
 
 
 @query()

@@ -320,9 +320,9 @@ def pad_tokens(spark: SparkSession, d: str) -> DataFrame:
     return both.select("p_partkey", F.col("pos").cast("long").alias("pos"), "x.token", "x.used")
 
 
-@query("""select doc_id, coalesce(nullif(regexp_replace(regexp_replace(left(text, 60), '[^a-zA-Z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'item') "name" from documents where text is not null""")
+@query("""select doc_id, coalesce(nullif(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'item') "name" from documents where text is not null""")
 def safe_name(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", text.safe_name(F.substring("text", 1, 60)).alias("name"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", text.safe_name(F.col("text")).alias("name"))
 
 
 @query(

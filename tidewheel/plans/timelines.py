@@ -207,25 +207,29 @@ def protocol_state(spark: SparkSession, d: str) -> DataFrame:
 
 # Masks and positions
 
-_TOK = """tk as (select doc_id k, unnest(range(least(12, n_chars))) pos from documents where n_chars > 0), tb as (select k, pos, (k + pos) % 5 <> 0 ok, (k + pos) % 3 = 0 bl from tk),
-    tc as (select *, sum(cast(bl as int)) over (partition by k order by pos) b, sum(cast(ok as int)) over (partition by k order by pos) - 1 p from tb)"""
+_FLAGS = "(k + pos) % 5 <> 0 ok, (k + pos) % 3 = 0 bl"
+_BLOCKS = """tb as (select k, pos, {0} from tk), tc as (select *, sum(cast(bl as int)) over (partition by k order by pos) b, sum(cast(ok as int)) over (partition by k order by pos) - 1 p from tb)""".format(_FLAGS)
 
 
-def tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("n_chars > 0").select(F.col("doc_id").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(12), F.col("n_chars")) - 1)).alias("pos"))
+def flagged(rows: DataFrame) -> DataFrame:
     s = F.col("key") + F.col("pos")
     return rows.select("key", "pos", (s % 5 != 0).alias("ok"), (s % 3 == 0).alias("bl"))
 
 
-@query(f"with {_TOK} select a.k \"key\", a.pos i, b.pos j, b.b <= a.b and a.ok and b.ok may from tc a join tc b on a.k = b.k")
+@query(f"with tk as (select p_partkey k, unnest(range(len(str_split(p_name, ' ')))) pos from part), {_BLOCKS} select a.k \"key\", a.pos i, b.pos j, b.b <= a.b and a.ok and b.ok may from tc a join tc b on a.k = b.k")
 def attn_mask(spark: SparkSession, d: str) -> DataFrame:
-    return windows.attention_mask(tokens(spark, d), "ok", "bl")
+    """Masks over the words of each part's name: sequences that are short by nature, as the result is quadratic in their length."""
+    words = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.posexplode(F.split("p_name", " ")).alias("pos", "word"))
+    return windows.attention_mask(flagged(words.withColumn("pos", F.col("pos").cast("long"))), "ok", "bl")
 
 
-@query(f"with {_TOK} select k \"key\", pos, cast(p as bigint) p from tc")
+@query(f"with tk as (select doc_id k, unnest(range(n_chars)) pos from documents where n_chars > 0), {_BLOCKS} select k \"key\", pos, cast(p as bigint) p from tc")
 def position_ids(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # a sequence of bounded length
-    return tokens(spark, d).select("key", "pos", (F.sum(F.col("ok").cast("long")).over(w) - 1).alias("p"))
+    """Positions of every character of every document."""
+    rows = segments.numbered(table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("n")), "n", "pos").drop("n")
+    f = flagged(rows).withColumnsRenamed({"key": "ep", "pos": "fi"})
+    summed = segments.running_sum(f, F.col("ok").cast("long"), "p")
+    return summed.select(F.col("ep").alias("key"), F.col("fi").alias("pos"), (F.col("p") - 1).alias("p"))
 
 
 # Index, time and trims
@@ -279,7 +283,7 @@ def topk(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").orderBy(F.desc("value"), "event_id").limit(20).select("event_id", "value")
 
 
-@query()
+@query("select event_id, value from events order by md5('7:' || event_id), event_id limit 640")
 def hash_sample_limit(spark: SparkSession, d: str) -> DataFrame:
     return sampling.hash_sample(table(spark, d, "events").select("event_id", "value"), "event_id", 640, 7)
 
@@ -289,7 +293,13 @@ def batching(spark: SparkSession, d: str) -> DataFrame:
     return sampling.batches(table(spark, d, "events").select("event_id"), ["event_id"], 32)
 
 
-@query()
+_DRAWN = """w as (select * from (values ('click', 0.5::double), ('view', 0.3::double), ('purchase', 0.2::double)) v(event_type, weight)),
+    k as (select event_id, event_type, value, row_number() over (partition by event_type order by md5('11:' || event_id), event_id) - 1 k from events join w using (event_type)),
+    z as (select event_type, count(*) n, cast(floor((select count(*) from events) * any_value(weight)) as bigint) due from k join w using (event_type) group by 1),
+    x as (select event_type, n, unnest(range(due)) draw from z), y as (select event_type, draw, cast('0x' || substr(md5('11:' || event_type || ':' || draw), 1, 15) as bigint) % n k from x)"""
+
+
+@query(f"with {_DRAWN} select event_id, event_type, value, draw from y join k using (event_type, k)")
 def weighted_mix(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", "event_type", "value")
     return sampling.resample(rows, "event_type", "event_id", {"click": 0.5, "view": 0.3, "purchase": 0.2}, 11)

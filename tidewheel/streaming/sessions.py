@@ -12,9 +12,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 #: Seconds: a stamp may be later than now by FUTURE, older by STALE; a longer pause than GAP begins anew.
 FUTURE_S, STALE_S, GAP_S = 1e-6, 0.5, 0.5
+#: Seconds without a message after which a client's state is dropped.
+IDLE_S = 86_400.0
 
 INPUT = "client string, kind string, now double, sensor string, stamp double, value double"
 _OUT = "client string, now double, status string, session long, frame long, replanned boolean, anchor double, held double, polled boolean"
@@ -81,22 +84,32 @@ def _none(x):  # noqa: ANN001, ANN202
 
 
 def _take_all(session: Session, client: str, pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = [(client, r.now, *session.take(r.kind, _none(r.now), r.sensor, _none(r.stamp), _none(r.value))) for r in pdf.itertuples(index=False)]
+    """What a client's messages come to: one step of the machine each, over plain lists."""
+    columns = [[_none(x) for x in pdf[c].tolist()] for c in ("now", "stamp", "value")]
+    rows = [(client, n, *session.take(k, n, s, t, v)) for k, s, n, t, v in zip(pdf["kind"].tolist(), pdf["sensor"].tolist(), *columns, strict=True)]
     names = [c.split()[0] for c in _OUT.split(", ")]
-    kinds = {"session": "Int64", "frame": "Int64"}
-    return pd.DataFrame(rows, columns=names).astype(kinds)
+    return pd.DataFrame(rows, columns=names).astype({"now": float, "session": "Int64", "frame": "Int64"})
 
 
-def infer_stream(messages: DataFrame, horizon: int, hz: float, gap_s: float = GAP_S) -> DataFrame:
-    """One row per message, in the order of `now` within each micro-batch, from a streaming DataFrame of INPUT."""
+def infer_stream(messages: DataFrame, horizon: int, hz: float, gap_s: float = GAP_S, idle_s: float | None = None) -> DataFrame:
+    """One row per message, in the order of `now` within each micro-batch, from a streaming DataFrame of INPUT.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+    With idle_s (a stream that runs for good takes IDLE_S) a client that sends nothing for so many seconds of processing time is forgotten,
+    so the state doesn't grow with all clients there ever were; such a stream has no end at which all is processed.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         session = Session(horizon, hz, gap_s, state.get if state.exists else None)
-        pdf = pd.concat(list(batches)).sort_values("now", kind="stable")
+        pdf = pd.concat(list(batches)).sort_values("now", kind="stable")  # a client's messages of one micro-batch
         yield _take_all(session, key[0], pdf)
         state.update(session.state())
+        if idle_s is not None:
+            state.setTimeoutDuration(int(idle_s * 1000))
 
-    return messages.groupBy("client").applyInPandasWithState(step, _OUT, _STATE, "append", "NoTimeout")
+    return messages.where("client is not null").groupBy("client").applyInPandasWithState(step, _OUT, _STATE, "append", "NoTimeout" if idle_s is None else "ProcessingTimeTimeout")
 
 
 def infer_batch(messages: DataFrame, horizon: int, hz: float, gap_s: float = GAP_S) -> DataFrame:
