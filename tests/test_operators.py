@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewheel.functions import schedules, text, vectors
-from tidewheel.operators import projections, quality, sampling, segments, stats, trees, windows
+from tidewheel.operators import images, projections, quality, sampling, segments, stats, trees, windows
 from tidewheel.session import attach, exact
 
 
@@ -400,3 +400,73 @@ def test_numbered_and_sampled(spark):
         got = [r["id"] for r in sampling.hash_sample(rows, "id", n, 3).collect()]
         assert len(set(got)) == len(got) == min(n, 5000)
     assert set(r["id"] for r in sampling.hash_sample(rows, "id", 10, 3).collect()) == set(r["id"] for r in rows.orderBy(sampling.hash_order(F.col("id"), 3), "id").limit(10).collect())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_growing_histogram(seed):
+    """Against NumPy's histograms: batches that widen the range on either side, or not at all."""
+    rng = np.random.default_rng(seed)
+    batches = [rng.normal(0, 1 + k * (seed > 0), (40, 3)) for k in range(5)] + [np.full((3, 3), 0.25)]
+    h, counts, edges, low, high, n = stats.GrowingHistogram(50), None, None, None, None, 0
+    for b in batches:
+        h.add(b)
+        if counts is None:
+            low, high = b.min(0), b.max(0)
+            edges, counts = [np.linspace(x - 1e-10, y + 1e-10, 51) for x, y in zip(low, high, strict=True)], [np.zeros(50)] * 3
+        else:
+            grown = (b.max(0) > high).any() or (b.min(0) < low).any()
+            low, high = np.minimum(low, b.min(0)), np.maximum(high, b.max(0))
+            if grown:
+                new = [np.linspace(x, y, 51) for x, y in zip(low, high, strict=True)]
+                counts = [np.histogram(e[:-1], f, weights=c)[0] for e, f, c in zip(edges, new, counts, strict=True)]
+                edges = new
+        counts = [c + np.histogram(b[:, d], edges[d])[0] for d, c in enumerate(counts)]
+        n += len(b)
+    assert np.array_equal(h.counts, np.column_stack(counts))
+    for q in (0.01, 0.5, 0.99):
+        assert h.quantile(q) == pytest.approx([e[np.searchsorted(np.cumsum(c), q * n)] for e, c in zip(edges, counts, strict=True)], abs=1e-9)
+
+
+def test_growing_quantiles(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rng.normal(size=2)]) for i in range(500)]
+    h = stats.GrowingHistogram(100)
+    for i in range(0, 500, 30):
+        h.add(np.array([v for _, v in rows[i : i + 30]]))
+    df = spark.createDataFrame([*rows, (999, None)], "i long, v array<double>").repartition(5)
+    got = {(r["dim"], r["q"]): r["x"] for r in stats.growing_quantiles(df, F.col("v"), ["i"], 30, [0.1, 0.9], 100).collect()}
+    assert got == {(d, q): h.quantile(q)[d] for d in (0, 1) for q in (0.1, 0.9)}
+    assert stats.growing_quantiles(df.where("false"), F.col("v"), ["i"], 30, [0.1]).count() == 0
+
+
+def test_images(spark, tmp_path):
+    """Bytes from the column, from files by relative and whole paths, or none; statistics of sampled and thinned images against NumPy."""
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/a.bin").write_bytes(b"file a")
+    rows = [(1, (b"own", "sub/a.bin")), (2, (None, "sub/a.bin")), (3, (None, f"{tmp_path}/sub/a.bin")), (4, (None, "sub/none.bin")), (5, (None, None)), (6, None)]
+    df = spark.createDataFrame(rows, "i long, image struct<bytes: binary, path: string>")
+    got = {r["i"]: r["content"] and bytes(r["content"]) for r in images.embedded(df, "image", str(tmp_path)).collect()}
+    assert got == {1: b"own", 2: b"file a", 3: b"file a", 4: None, 5: None, 6: None}
+    rng = np.random.default_rng(0)
+    pictures = {(e, i): rng.integers(0, 256, (310 if e else 6, 155 if e else 4, 3), dtype=np.uint8) for e, n in ((0, 230), (1, 3)) for i in range(n)}
+    rows = [(e, i, (x.tobytes(), *x.shape)) for (e, i), x in pictures.items()] + [(0, 230, (b"12", 1, 1, 3)), (0, 231, None)]
+    f = spark.createDataFrame(rows, "ep long, fi long, image struct<data: binary, h: int, w: int, c: int>")
+    lengths = spark.createDataFrame([(0, 230), (1, 3), (2, 5)], "ep long, n long")
+    assert images.stride(310, 155) == 2 and images.stride(299, 299) == 1 and images.stride(300, 900) == 6
+    out = {(r["ep"], r["channel"]): r for r in images.channel_stats(f, "image", lengths).collect()}
+    picked = sorted({int(x) for x in np.round(np.linspace(0, 229, 100))})
+    for e, at, k in ((0, picked, 1), (1, [0, 1, 2], 2)):
+        x = np.stack([pictures[e, i][::k, ::k] for i in at]) / 255
+        for c in range(3):
+            r = out[e, c]
+            assert (r["min"], r["max"], r["mean"], r["std"]) == pytest.approx((x[..., c].min(), x[..., c].max(), x[..., c].mean(), x[..., c].std()), abs=1e-9) and r["count"] == len(at)
+    assert len(out) == 6
+
+
+def test_concatenated(spark):
+    a, b = spark.range(2), spark.range(3)
+    out = projections.concatenated([a, b], [None, lambda x: x.where("id > 0")])
+    assert sorted(map(tuple, out.collect())) == [(0, 0), (1, 0), (1, 1), (2, 1)]
+    for sets, transforms in (([], None), ([a], [None, None])):
+        with pytest.raises(ValueError, match="transforms"):
+            projections.concatenated(sets, transforms)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Mapping, Sequence
 
@@ -127,3 +128,12 @@ def is_rgb(image: str) -> Column:
     """Whether a struct of data, h, w, c holds whole rows of three bytes per pixel."""
     i = F.col(f"`{image}`")
     return F.coalesce((i["c"] == 3) & (i["h"] > 0) & (i["w"] > 0) & (F.length(i["data"]) == i["h"] * i["w"] * i["c"]), F.lit(False))
+
+
+def concatenated(datasets: Sequence[DataFrame], transforms: Sequence[Callable[[DataFrame], DataFrame] | None] | None = None) -> DataFrame:
+    """Datasets one after another with dataset_idx, each through the transform in its place; None leaves one as it is."""
+    given = list(transforms) if transforms is not None else [None] * len(datasets)
+    if not datasets or len(given) != len(datasets):
+        raise ValueError(f"{len(datasets)} datasets and {len(given)} transforms")
+    parts = [(d if t is None else d.transform(t)).withColumn("dataset_idx", F.lit(i)) for i, (d, t) in enumerate(zip(datasets, given, strict=True))]
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -47,6 +47,70 @@ def hist_quantiles(values: DataFrame, quantiles: dict[str, float], *keys: str, b
     return got.select(*keys, "n", *(left(k) for k in quantiles))
 
 
+class GrowingHistogram:
+    """Counts of vectors by equal bins whose range grows with what comes, as a job that can't look twice keeps them.
+
+    When a batch goes beyond the range, each bin's count moves to the new bin that holds its old left edge; the first range has a margin
+    of EDGE on both sides, later ones have none, and a left edge that lies before the new range takes its count along. So the result
+    depends on the order of the batches; hist_quantiles looks twice and doesn't.
+    """
+
+    def __init__(self, bins: int = BINS) -> None:
+        self.bins, self.n = bins, 0
+        self.low = self.high = self.edges = self.counts = None
+
+    def _count(self, x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Weights by bin and dimension; the last bin holds its right edge, what lies outside counts for nothing."""
+        out = np.zeros((self.bins, x.shape[1]))
+        for d, e in enumerate(self.edges):
+            inside = (x[:, d] >= e[0]) & (x[:, d] <= e[-1])
+            k = np.minimum(np.searchsorted(e, x[inside, d], "right") - 1, self.bins - 1)
+            out[:, d] = np.bincount(k, weight[inside, d], self.bins)
+        return out
+
+    def add(self, x: np.ndarray) -> None:
+        """A batch of vectors, rows by dimensions."""
+        low, high = x.min(0), x.max(0)
+        if self.counts is None:
+            self.low, self.high = low, high
+            self.edges = np.linspace(low - EDGE, high + EDGE, self.bins + 1).T
+            self.counts = np.zeros((self.bins, x.shape[1]))
+        elif (low < self.low).any() or (high > self.high).any():
+            self.low, self.high, before = np.minimum(low, self.low), np.maximum(high, self.high), self.edges
+            self.edges = np.linspace(self.low, self.high, self.bins + 1).T
+            self.counts = self._count(before[:, :-1].T, self.counts)
+        self.n += len(x)
+        self.counts = self.counts + self._count(x, np.ones(x.shape))
+
+    def quantile(self, q: float) -> np.ndarray:
+        """By dimension the left edge of the first bin up to which q * n are counted."""
+        k = (np.cumsum(self.counts, axis=0) < q * self.n).sum(0)
+        return self.edges[np.arange(len(k)), k]
+
+
+def growing_quantiles(df: DataFrame, vector: Column, order: Sequence[str], batch: int, quantiles: Sequence[float], bins: int = BINS) -> DataFrame:
+    """(dim, q, x): quantiles of a GrowingHistogram fed in order, `batch` vectors at a time. Null vectors are left out.
+
+    As each batch depends on those before, one task folds them, holding one batch and the histogram.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, held = GrowingHistogram(bins), []
+        for b in batches:
+            held += b.column(0).to_pylist()
+            while len(held) >= batch:
+                h.add(np.array(held[:batch], float))
+                held = held[batch:]
+        if held:
+            h.add(np.array(held, float))
+        for q in quantiles if h.n else ():
+            x = h.quantile(q)
+            yield pa.RecordBatch.from_pydict({"dim": np.arange(len(x)), "q": np.full(len(x), q), "x": x})
+
+    rows = df.where(vector.isNotNull()).select(*order, vector.cast("array<double>").alias("_v")).orderBy(*order).select("_v")
+    return rows.coalesce(1).mapInArrow(work, "dim long, q double, x double")
+
+
 def exact_percentiles(values: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float], n: str | None = None, most: int = MOST_VALUES) -> DataFrame:
     """(keys, p, value): exact percentiles by keys, between two ranks in proportion; n, if given, counts how often a row's value occurs.
 

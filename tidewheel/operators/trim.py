@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewheel.operators.segments import look_around, nearby, own_rows, positions
 from tidewheel.operators.stats import per_dim
 from tidewheel.session import attach, cut
-from tidewheel.sources.episodic import Dataset, Publish, snapshot, write_json, write_jsonl
+from tidewheel.sources.episodic import Dataset, Publish, copy_auxiliary, snapshot, write_json, write_jsonl
 
 
 def plan(frames: DataFrame, ranges: DataFrame, only: list[int] | None = None) -> DataFrame:
@@ -130,7 +131,8 @@ def rewrite_dataset(source: Dataset, target: str | Path, ranges: dict[int, tuple
                 s[k].append(r[k])
         write_jsonl(work / "meta/episodes_stats.jsonl", [{"episode_index": e, "stats": s} for e, s in by.items()])
         provenance = [{"source_episode": p["ep"], "output_episode": p["new_ep"], "start_frame": p["start_frame"], "end_frame": p["end_frame"], "start_s": p["first_s"], "end_s": p["last_s"]} for p in listed]
-        write_json(work / "meta/trim.json", {"source": str(source.root), "episodes": provenance})
+        write_json(work / "meta/trim.json", {"source": str(source.root), "built_at": datetime.now(UTC).isoformat(), "episodes": provenance})
+        copy_auxiliary(source.root, work)
         checked = validate(written.select(F.col("episode_index").alias("ep"), F.col("frame_index").alias("fi"), F.col("timestamp").alias("t"), "index"), plans)
         if wrong := [r["rule"] for r in checked.where("violations > 0").collect()]:
             raise ValueError(f"the written dataset breaks: {', '.join(wrong)}")

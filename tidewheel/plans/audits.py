@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators import quality, segments, trim
+from tidewheel.operators import images, quality, segments, trim
 from tidewheel.plans.pipelines import _L, _PLAN, measures, rewritten
 from tidewheel.plans.registry import FRAMES, Registry
 from tidewheel.plans.relations import rounded
@@ -103,6 +103,23 @@ def audit_videos(spark: SparkSession, d: str) -> DataFrame:
     return found.select("ep", "code", "frame_start", "frame_end", F.round("observed", 3).alias("observed"))
 
 
+@query(
+    """with p as (select label ep, row_number() over (partition by label order by vec_id) - 1 fi, count(*) over (partition by label) n, embedding from embeddings),
+    z as (select distinct ep, n, greatest(least(n, 100), least(floor(power(n::double, 0.75)), 10000))::bigint m from p), i as (select ep, n, m, unnest(range(m)) i from z),
+    k as (select distinct ep, cast(round_even(case when i = m - 1 then n - 1 else i * ((n - 1)::double / greatest(m - 1, 1)) end, 0) as bigint) fi from i),
+    x as (select ep, j % 3 channel, least(255, greatest(0, floor((cast(embedding[j + 1] as double) + 1) * 127))) v, fi from p join k using (ep, fi), range(60) r(j))
+    select cast(ep as bigint) ep, cast(channel as int) channel, min(v) / 255 low, max(v) / 255 high, round(avg(v) / 255, 6) mean, round(stddev_pop(v) / 255, 6) std, cast(count(distinct fi) as bigint) n from x group by all"""
+)
+def image_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as little images of 4 x 5 pixels, those of a label as an episode."""
+    one = lambda x: F.lpad(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x + 1) * 127)))), 2, "0")
+    data = F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 60), lambda x: one(x.cast("double"))), ""))
+    rows = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("ep"), F.col("vec_id").alias("us"), F.struct(data.alias("data"), F.lit(4).alias("h"), F.lit(5).alias("w"), F.lit(3).alias("c")).alias("image"))
+    f = segments.number_frames(rows, "us", segments.LENGTH)
+    got = images.channel_stats(f, "image", f.groupBy("ep").agg(F.count("*").alias("n")))
+    return rounded(got.withColumnsRenamed({"min": "low", "max": "high", "count": "n"}), ["mean", "std"])
+
+
 # Trims, written and read again
 
 _BROKEN = """bad as (select ep, fi, case when event_id % 83 = 0 then 0.0 else t end t, "index" + cast(event_id % 89 = 0 as int) "index" from rw where event_id % 97 <> 0),
@@ -137,7 +154,7 @@ def _streamed(df: DataFrame, mode: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet")
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a single file is no folder
     return events.withColumn("ts", F.timestamp_micros(segments.micros("ts")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import vectors
 from tidewheel.operators import segments, stats, trees
-from tidewheel.operators.projections import checked
+from tidewheel.operators.projections import checked, concatenated
 from tidewheel.plans.registry import FRAMES, Registry
 from tidewheel.plans.scans import exploded, frames
 from tidewheel.session import attach, table
@@ -185,6 +185,24 @@ def concat_union(spark: SparkSession, d: str) -> DataFrame:
     return sets[0].unionByName(sets[1]).unionByName(sets[2])
 
 
+@query(
+    """select event_id, 'Press ' || event_type prompt, 0 dataset_idx from events where event_type = 'click' union all select event_id, event_type, 1 from events where event_type = 'view'
+    union all select event_id, upper(event_type), 2 from events where event_type = 'error'"""
+)
+def concat_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Datasets concatenated, each with its own change of the prompt, or none."""
+    events = table(spark, d, "events")
+    sets = [events.where(F.col("event_type") == t).select("event_id", F.col("event_type").alias("prompt")) for t in ("click", "view", "error")]
+    return concatenated(sets, [lambda x: x.withColumn("prompt", F.concat(F.lit("Press "), "prompt")), None, lambda x: x.withColumn("prompt", F.upper("prompt"))])
+
+
+@query(f"with {_RANGES} select ep, unnest(range(cast(start_s / 3600 as bigint), cast(coalesce(end_s, 90000) / 3600 as bigint))) idx from ranges")
+def segment_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Half-open ranges to one row per index."""
+    r = ranges(spark).select("ep", F.floor(F.col("start_s") / 3600).alias("a"), F.round(F.coalesce("end_s", F.lit(90_000.0)) / 3600).cast("long").alias("b"))
+    return segments.numbered(r.withColumn("n", F.col("b") - F.col("a")), "n", "i").select("ep", (F.col("a") + F.col("i")).alias("idx"))
+
+
 @query("select user_id ep, list_has_all(['click', 'view', 'purchase', 'signup'], list(distinct event_type)) subset from events group by 1")
 def subset_check(spark: SparkSession, d: str) -> DataFrame:
     known = vectors.literal(["click", "view", "purchase", "signup"])
@@ -268,6 +286,11 @@ def norm_stats_json(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows, names)
 
 
+@query()
+def growing_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return stats.growing_quantiles(table(spark, d, "embeddings"), F.col("embedding"), ["vec_id"], 50, [0.01, 0.99])
+
+
 @query(f"with {_DIMS} select label, dim, min(x) low, max(x) high, round(avg(x), 6) mean, round(stddev_pop(x), 6) std, cast(count(*) as bigint) n from x group by all")
 def episode_stats(spark: SparkSession, d: str) -> DataFrame:
     g = dims(spark, d, "label").groupBy("label", "dim").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("*").alias("n"))

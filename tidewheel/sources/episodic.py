@@ -231,6 +231,15 @@ class Publish:
             shutil.rmtree(self.work, ignore_errors=True)
 
 
+def copy_auxiliary(source: str | Path, work: str | Path) -> None:
+    """What else a dataset has, beside data, videos and metadata that are made anew; what is there already stays."""
+    for p in sorted(Path(source).rglob("*")):
+        to = Path(work) / (at := p.relative_to(source))
+        if p.is_file() and at.parts[0] not in ("data", "videos") and not to.exists():
+            to.parent.mkdir(parents=True, exist_ok=True)
+            shutil.copy2(p, to)
+
+
 def snapshot(root: str | Path) -> dict[str, tuple[int, int, int]]:
     """What identifies the state of each file: inode, size, time of change."""
     root = Path(root)
