@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.tokens import VOCABULARY, clean, encoding
+from tidewheel.llm.tokens import VOCABULARY, clean, encoding, ship
 from tidewheel.session import cut, exact
 
 #: Largest table of targets.
@@ -29,6 +29,7 @@ def _count(vocabulary: str):  # noqa: ANN202
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens) of every document, counted once and kept; null texts have 0 tokens."""
+    ship(documents.sparkSession, vocabulary)
     rows = exact(documents, "doc_id", "source", "text").select(F.col("doc_id").cast("long"), "source", "text")
     return cut(rows.mapInArrow(_count(vocabulary), "doc_id long, source string, tokens long"))
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewheel.session import exact
 
-#: Width in seconds of a time range; with the margins it bounds what one entity brings to one group.
-RANGE_S = 32.0
+#: Width in seconds of a time range, or as many tolerances if that is more; with the margins it bounds what one entity brings to one group.
+RANGE_S, RANGE_TOLERANCES = 32.0, 4.0
 #: Rows of both tables aimed at in a co-grouped shard.
 SHARD_ROWS = 150_000
 
@@ -47,13 +47,14 @@ def _search(left: pa.Table, right: pa.Table, tolerance: float) -> pa.Table:
 
 
 def nearest_in_time(
-    left: DataFrame, right: DataFrame, entity: str, time: str, left_id: str, right_value: str, tolerance: float, range_s: float = RANGE_S, shard_rows: int = SHARD_ROWS
+    left: DataFrame, right: DataFrame, entity: str, time: str, left_id: str, right_value: str, tolerance: float, range_s: float | None = None, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
     """One row (left_id, right_value, gap_s) per left row that has a right row of its entity at most tolerance seconds away.
 
     Both tables are co-grouped by shards of (entity, time range); right rows near an edge of a range go to both sides, so that the
-    nearest one is always at hand. An entity with a third of all rows is spread over its ranges.
-    Rows whose entity, time or id is null, or whose time isn't finite, take no part; repeated left rows (same id) give one row; of two
+    nearest one is always at hand. A range is never narrower than the tolerance, so a right row goes to three ranges at most. An entity with
+    a third of all rows is spread over its ranges; rows of one entity at one and the same time stay together.
+    Rows whose entity, time or id is null, or whose time isn't finite, take no part; repeated left rows (same id, entity and time) give one row; of two
     right rows equally near, the earlier is taken, of those at the same time the smallest right_value. Empty tables give no row.
     Other columns are never read, so their names can't clash.
     """
@@ -63,6 +64,7 @@ def nearest_in_time(
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // shard_rows))
     t = F.col(f"`{time}`").cast("double")
     fine = F.col(f"`{entity}`").isNotNull() & t.isNotNull() & ~F.isnan(t) & (F.abs(t) < F.lit(float("inf")))
+    range_s = max(RANGE_S, RANGE_TOLERANCES * tolerance) if range_s is None else max(range_s, tolerance)
     at = lambda x: F.floor(x / range_s)
     margin = tolerance + 1e-6
     one = left.where(fine & F.col(f"`{left_id}`").isNotNull()).select(

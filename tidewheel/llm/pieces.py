@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewheel.llm.tokens import VOCABULARY, byte_lengths, clean, encoding
+from tidewheel.llm.tokens import VOCABULARY, byte_lengths, clean, encoding, ship
 from tidewheel.session import exact
 
 #: Most tokens of a piece, tokens it repeats of the one before, and tokens kept free for what a cut changes in the tokens beside it.
@@ -52,11 +52,12 @@ def elements(text: str) -> list[tuple[int, int]]:
     for m in _ELEMENT.finditer(text) if "</" in text else ():
         name = m[2].lower()
         if not m[1]:
-            open_.setdefault(name, []).append(m.start())
+            line = m.start()
+            while line and text[line - 1] in " \t":
+                line -= 1
+            open_.setdefault(name, []).append(m.start() if line == 0 or text[line - 1] == "\n" else -1)
         elif open_.get(name):
-            begin = open_[name].pop()
-            line = text.rfind("\n", 0, begin) + 1
-            if not text[line:begin].strip():
+            if (begin := open_[name].pop()) >= 0:
                 out.append((begin, m.end() + (text[m.end() : m.end() + 1] == "\n")))
     return out
 
@@ -201,4 +202,5 @@ def split_oversized(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
     included. Null and shorter texts give no row; a text without any boundary is cut between characters; doc_id may be null or
     repeated, as each row is cut by itself, in place and without a shuffle. An empty table gives no row; other columns are not read.
     """
+    ship(documents.sparkSession, vocabulary)
     return exact(documents, "doc_id", "text").where("text is not null").mapInArrow(_cut(limit, overlap, vocabulary), _PIECE)
