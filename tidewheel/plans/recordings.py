@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewheel.operators import grid, spikes
 from tidewheel.session import table
@@ -17,6 +18,13 @@ def p3_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.onto_grid(table(spark, d, "frames"), table(spark, d, "episodes"))
 
 
+def p3_observed(spark: SparkSession, d: str) -> DataFrame:
+    """The readings that the grid keeps, one row per finite element."""
+    kept = grid.onto_grid(table(spark, d, "frames"), table(spark, d, "episodes")).where("status = 'observed'")
+    rows = kept.select("episode_index", "grid_index", F.posexplode("state").alias("joint_index", "x"))
+    return rows.where("x is not null and not isnan(x) and abs(x) < double('infinity')").select("episode_index", "grid_index", F.col("joint_index").cast("long").alias("joint_index"), F.col("x").cast("double").alias("x"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = spikes.implausible_readings(table(spark, d, "frames"), table(spark, d, "joint_limits"))
     return found.select("episode_index", "frame_index", "field", "joint_index")
@@ -60,6 +68,12 @@ SQL = {
         f as (select e, fps, cast("timestamp" as double) t, "observation.state" is not null there from frames join p on episode_index = e where "timestamp" is not null and isfinite("timestamp")),
         g as (select e, unnest(range(0, cast(floor(max(t) * any_value(fps) + 0.5) as bigint) + 1)) k from f group by 1)
         select e episode_index, k grid_index from g anti join (select distinct e, cast(floor(t * fps + 0.5) as bigint) k from f where there) o using (e, k)""",
+    "p3_observed": """
+        with p as (select episode_index e, cast(min(fps) as double) fps from episodes where fps > 0 group by 1),
+        f as (select e, frame_index fi, cast("timestamp" as double) t, fps, cast(floor(cast("timestamp" as double) * fps + 0.5) as bigint) k, "observation.state" s from frames join p on episode_index = e
+            where "timestamp" is not null and isfinite("timestamp") and "observation.state" is not null),
+        o as (select e, k, s, row_number() over (partition by e, k order by abs(t - k / fps), fi) r from f where k >= 0)
+        select e episode_index, k grid_index, cast(j as bigint) joint_index, cast(s[j + 1] as double) x from o, range(7) g(j) where r = 1 and isfinite(s[j + 1])""",
     "p5_found": f"select episode_index, frame_index, field, joint_index from ({_IMPLAUSIBLE})",
     "p5_reasons": _IMPLAUSIBLE,
 }
