@@ -25,10 +25,33 @@ def per_dim(df: DataFrame, vector: Column, *keys: str) -> DataFrame:
     return rows.select(*keys, F.col("dim").cast("long").alias("dim"), F.col("x").cast("double").alias("x")).where("x is not null")
 
 
+def _moments() -> tuple[Column, ...]:
+    return F.count("x").alias("n"), F.avg("x").alias("mean"), F.avg(F.col("x") * F.col("x")).alias("_sq")
+
+
+def _ends() -> tuple[Column, ...]:
+    return (F.min("x") - EDGE).alias("_lo"), (F.max("x") + EDGE).alias("_hi")
+
+
+def _with_std(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("std", F.sqrt(F.greatest(F.lit(0.0), F.col("_sq") - F.col("mean") * F.col("mean")))).drop("_sq")
+
+
 def moments(values: DataFrame, *keys: str) -> DataFrame:
     """n, mean, std by keys: the population's deviation from the mean of squares, as merged from partial sums."""
-    g = values.groupBy(*keys).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.avg(F.col("x") * F.col("x")).alias("_sq"))
-    return g.withColumn("std", F.sqrt(F.greatest(F.lit(0.0), F.col("_sq") - F.col("mean") * F.col("mean")))).drop("_sq")
+    return _with_std(values.groupBy(*keys).agg(*_moments()))
+
+
+def _histogram(values: DataFrame, summary: DataFrame, quantiles: dict[str, float], keys: tuple[str, ...], bins: int) -> DataFrame:
+    """The summary's rows (keys, n, _lo, _hi and whatever else) with quantiles from equal bins between _lo and _hi."""
+    joined = values.join(summary, list(keys)) if keys else values.crossJoin(F.broadcast(summary))  # one row
+    bin_ = F.least(F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).alias("_bin")
+    known = summary.columns
+    counts = joined.groupBy(*known, bin_).agg(F.count("*").alias("_c"))
+    upto = counts.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*known).orderBy("_bin")))  # at most `bins` rows of each key
+    edge = lambda q: F.min(F.when(F.col("_cum") >= q * F.col("n"), F.col("_bin")))
+    got = upto.groupBy(*known).agg(*(edge(q).alias(k) for k, q in quantiles.items()))
+    return got.withColumns({k: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col(k) / float(bins) for k in quantiles}).drop("_lo", "_hi")
 
 
 def hist_quantiles(values: DataFrame, quantiles: dict[str, float], *keys: str, bins: int = BINS) -> DataFrame:
@@ -36,15 +59,13 @@ def hist_quantiles(values: DataFrame, quantiles: dict[str, float], *keys: str, b
 
     Two passes, and per key at most `bins` counts; the counts of separate parts can be added up when their edges are the same.
     """
-    ends = values.groupBy(*keys).agg((F.min("x") - EDGE).alias("_lo"), (F.max("x") + EDGE).alias("_hi"), F.count("x").alias("n"))
-    joined = values.join(ends, list(keys)) if keys else values.crossJoin(F.broadcast(ends))  # one row
-    bin_ = F.least(F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).alias("_bin")
-    counts = joined.groupBy(*keys, "_lo", "_hi", "n", bin_).agg(F.count("*").alias("_c"))
-    upto = counts.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*keys, "_lo", "_hi").orderBy("_bin")))  # at most `bins` rows of each key
-    edge = lambda q: F.min(F.when(F.col("_cum") >= q * F.col("n"), F.col("_bin")))
-    got = upto.groupBy(*keys, "_lo", "_hi", "n").agg(*(edge(q).alias(k) for k, q in quantiles.items()))
-    left = lambda k: (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col(k) / float(bins)).alias(k)
-    return got.select(*keys, "n", *(left(k) for k in quantiles))
+    return _histogram(values, values.groupBy(*keys).agg(F.count("x").alias("n"), *_ends()), quantiles, keys, bins)
+
+
+def norm_stats(values: DataFrame, *keys: str) -> DataFrame:
+    """n, mean, std, q01, q99 by keys, in two passes: what a normalisation needs."""
+    summary = values.groupBy(*keys).agg(*_moments(), *_ends())
+    return _with_std(_histogram(values, summary, {"q01": 0.01, "q99": 0.99}, keys, BINS))
 
 
 class GrowingHistogram:
@@ -141,13 +162,6 @@ def exact_percentiles(values: DataFrame, keys: Sequence[str], value: str, percen
     return ends.select(*one, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(value))
 
 
-def norm_stats(values: DataFrame, *keys: str) -> DataFrame:
-    """mean, std, q01, q99 by keys: what a normalisation needs."""
-    q = hist_quantiles(values, {"q01": 0.01, "q99": 0.99}, *keys).drop("n")
-    m = moments(values, *keys)
-    return m.join(q, list(keys)) if keys else m.crossJoin(F.broadcast(q))
-
-
 def as_vectors(stats: DataFrame) -> DataFrame:
     """One row of arrays mean, std, q01, q99 from statistics by dim (as many as a vector has)."""
     one = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std", "q01", "q99"))).alias("s"))
