@@ -31,7 +31,7 @@ _LOG_LEAST, _LOG_BINS = -60, 800
 #: Windows worked on at once, and blocks of an episode's grid made from one row.
 _SLICE, _BLOCKS = 1_000, 4_096
 
-_WINDOW = "episode_index long, block long, fps int, points long, seen array<boolean>, cells array<float>"
+_WINDOW = "episode_index long, block long, fps int, points long, seen array<boolean>, used array<boolean>, cells array<float>"
 _GRID = "episode_index long, grid_index long, time_s double, state array<float>, status string"
 
 
@@ -60,11 +60,15 @@ def _windows(width: int):  # noqa: ANN202
             seen[group[rows], at[rows].astype(np.int64)] = True
             use = np.flatnonzero(~np.isnan(points))
             n = len(use)
+            by_element = cells[use].transpose(0, 2, 1)
+            x = by_element.reshape(n * width, WIDE).astype(np.float64)
+            used = np.isfinite(x)
+            used &= ~outlying(x, used)
             lists = lambda a, size: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(a.ravel()))
             yield pa.RecordBatch.from_pydict(
                 {
                     "episode_index": ep[starts][use], "block": block[starts][use], "fps": fps[use].astype(np.int32), "points": points[use].astype(np.int64),
-                    "seen": lists(seen[use], WIDE), "cells": lists(cells[use].transpose(0, 2, 1), WIDE * width),
+                    "seen": lists(seen[use], WIDE), "used": lists(used, WIDE * width), "cells": lists(by_element, WIDE * width),
                 }
             )
 
@@ -94,7 +98,7 @@ class Cells:
 def outlying(x: np.ndarray, ok: np.ndarray) -> np.ndarray:
     """Which readings lie above, or below, one of the BESIDE readings before them and one after them by more than OUTLYING usual steps.
 
-    The first and the last reading of a row must lie so far from all BESIDE readings next to them. The usual step of a row is the median
+    The first and the last reading of a row must lie so far from all BESIDE readings next to them, for each point up to the nearest. The usual step of a row is the median
     of its non-zero changes; a row without any has no such reading.
     """
     n = ok.sum(1)
@@ -109,32 +113,40 @@ def outlying(x: np.ndarray, ok: np.ndarray) -> np.ndarray:
     wide = v.shape[1]
     side = lambda f, sign: functools.reduce(f, (beside[:, BESIDE + sign * j : BESIDE + sign * j + wide] for j in range(1, BESIDE + 1)))
     least, most = [side(np.fmin, -1), side(np.fmin, 1)], [side(np.fmax, -1), side(np.fmax, 1)]
+    away = np.ones(v.shape)
     for x in range(2):  # the first and the last reading are held against all on the one side they have
         lone = np.isnan(least[x])
         least[x], most[x] = np.where(lone, most[1 - x], least[x]), np.where(lone, least[1 - x], most[x])
+        points = np.abs(np.diff(order, axis=1, append=order[:, -1:]) if x == 0 else np.diff(order, axis=1, prepend=order[:, :1]))
+        away = np.where(lone, np.maximum(points, 1), away)
     above, below = np.fmin(v - least[0], v - least[1]), np.fmin(most[0] - v, most[1] - v)
     above, below = (np.where(np.isnan(d), -np.inf, d) for d in (above, below))
-    bad = (np.fmax(above, below) > OUTLYING * usual[:, None]) & (np.arange(wide) < n[:, None])
+    bad = (np.fmax(above, below) > OUTLYING * usual[:, None] * away) & (np.arange(wide) < n[:, None])
     out = np.zeros_like(ok)
     np.put_along_axis(out, order, bad, 1)
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, Cells]]:
+def _flat(batch: pa.RecordBatch, name: str, *shape: int) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, *shape)
+
+
+def _cells(x: np.ndarray, used: np.ndarray) -> Cells:
+    """Rows of WIDE cells, centred on their median and scaled by their spread."""
+    ok, n = np.isfinite(x), used.sum(1)
+    sorted_ = np.sort(np.where(used, x, np.inf), axis=1)
+    pick = lambda k: np.take_along_axis(sorted_, k[:, None], 1)[:, 0]
+    middle = np.where(n > 0, (pick(np.maximum(n - 1, 0) // 2) + pick(np.minimum(n // 2, WIDE - 1))) / 2, 0.0)
+    y = np.where(ok, x - middle[:, None], 0.0)
+    spread = np.sqrt((y * y * used).sum(1) / np.maximum(n, 1))
+    scale = np.where(spread > 0, spread, 1.0)
+    return Cells(y / scale[:, None], ok, used, middle, scale)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, _SLICE):
-            batch = whole.slice(at, _SLICE)
-            x = batch.column("cells").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows * width, WIDE)
-            ok = np.isfinite(x)
-            used = ok & ~outlying(x, ok)
-            n = used.sum(1)
-            sorted_ = np.sort(np.where(used, x, np.inf), axis=1)
-            pick = lambda k: np.take_along_axis(sorted_, k[:, None], 1)[:, 0]  # noqa: B023, E731
-            middle = np.where(n > 0, (pick(np.maximum(n - 1, 0) // 2) + pick(np.minimum(n // 2, WIDE - 1))) / 2, 0.0)
-            y = np.where(ok, x - middle[:, None], 0.0)
-            spread = np.sqrt((y * y * used).sum(1) / np.maximum(n, 1))
-            scale = np.where(spread > 0, spread, 1.0)
-            yield batch, Cells(y / scale[:, None], ok, used, middle, scale)
+            yield whole.slice(at, _SLICE)
 
 
 def _noise(c: Cells, m: Model) -> np.ndarray:
@@ -167,9 +179,10 @@ def _times(width: int, m: Model):  # noqa: ANN202
         r = m.basis.shape[1]
         left, right, moments, bins = np.zeros((WIDE, r * r)), np.zeros((WIDE, r)), np.zeros((r, r)), np.zeros(_LOG_BINS)
         n = 0
-        for _, c in _slices(batches, width):
-            fit = c.used.sum(1) >= SUPPORT
-            c = Cells(c.y[fit], c.ok[fit], c.used[fit], c.middle[fit], c.scale[fit])
+        for batch in _slices(batches):
+            used = _flat(batch, "used", width, WIDE).reshape(-1, WIDE)
+            fit = used.sum(1) >= SUPPORT
+            c = _cells(_flat(batch, "cells", width, WIDE).reshape(-1, WIDE)[fit].astype(np.float64), used[fit])
             u = _sources(c, c.used, m)
             weight, residual = _weights(c, u, m)
             trusted = (u / (1e-3 + _noise(c, m))[:, None]).astype(np.float32)
@@ -199,26 +212,32 @@ def _next_model(total: np.ndarray, r: int) -> Model:
 def _fill(width: int, m: Model):  # noqa: ANN202
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core = np.arange(MARGIN, MARGIN + CORE)
-        for batch, c in _slices(batches, width):
+        for batch in _slices(batches):
             n = batch.num_rows
-            u = _sources(c, c.used, m)
-            for _ in range(REWEIGHTED):
-                u = _sources(c, _weights(c, u, m)[0], m)
-            guess = (u @ m.basis.T * c.scale[:, None] + c.middle[:, None]).reshape(n, width, WIDE)[:, :, core].transpose(0, 2, 1)
-            seen = batch.column("seen").flatten().to_numpy(zero_copy_only=False).reshape(n, WIDE)[:, core]
-            kept = batch.column("cells").flatten().to_numpy(zero_copy_only=False).reshape(n, width, WIDE)[:, :, core].transpose(0, 2, 1)
-            place = np.where(c.used, np.arange(WIDE), -WIDE)
-            before = np.arange(WIDE) - np.maximum.accumulate(place, axis=1)
-            place = np.where(c.used, np.arange(WIDE), 3 * WIDE)
-            after = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1] - np.arange(WIDE)
-            supported = (before <= REACH) & (after <= REACH) & (c.used.sum(1) >= SUPPORT)[:, None]
-            supported = supported.reshape(n, width, WIDE)[:, :, core].transpose(0, 2, 1)
             k = ints(batch, "block")[:, None] * CORE + np.arange(CORE)
             inside = k < ints(batch, "points")[:, None]
-            with np.errstate(over="ignore"):
-                value = np.where(seen[:, :, None], kept, guess.astype(np.float32))[inside]
-            null = (~seen[:, :, None] & ~supported)[inside]
-            status = np.where(seen, "observed", np.where(supported.all(2), "filled", "marked"))[inside]
+            seen = _flat(batch, "seen", WIDE)[:, core]
+            cells, used = _flat(batch, "cells", width, WIDE), _flat(batch, "used", width, WIDE)
+            value = cells[:, :, core].transpose(0, 2, 1).copy()
+            null = np.zeros(value.shape, bool)
+            open_ = np.flatnonzero((inside & ~seen).any(1))  # the other windows have nothing to fill
+            if len(open_):
+                c = _cells(cells[open_].reshape(-1, WIDE).astype(np.float64), used[open_].reshape(-1, WIDE))
+                u = _sources(c, c.used, m)
+                for _ in range(REWEIGHTED):
+                    u = _sources(c, _weights(c, u, m)[0], m)
+                guess = (u @ m.basis.T * c.scale[:, None] + c.middle[:, None]).reshape(-1, width, WIDE)[:, :, core].transpose(0, 2, 1)
+                place = np.where(c.used, np.arange(WIDE), -WIDE)
+                before = np.arange(WIDE) - np.maximum.accumulate(place, axis=1)
+                place = np.where(c.used, np.arange(WIDE), 3 * WIDE)
+                after = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1] - np.arange(WIDE)
+                supported = (before <= REACH) & (after <= REACH) & (c.used.sum(1) >= SUPPORT)[:, None]
+                missing = ~seen[open_][:, :, None]
+                null[open_] = missing & ~supported.reshape(-1, width, WIDE)[:, :, core].transpose(0, 2, 1)
+                with np.errstate(over="ignore"):
+                    value[open_] = np.where(missing, guess.astype(np.float32), value[open_])
+            status = np.where(seen, "observed", np.where(null.any(2), "marked", "filled"))[inside]
+            value, null = value[inside], null[inside]
             ep, fps = (np.repeat(ints(batch, c), CORE).reshape(n, CORE)[inside] for c in ("episode_index", "fps"))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(k[inside]) + 1, dtype=np.int32) * width), pa.array(value.ravel(), pa.float32(), mask=null.ravel()))
             yield pa.RecordBatch.from_pydict({"episode_index": ep, "grid_index": k[inside], "time_s": k[inside] / fps, "state": lists, "status": pa.array(status)})
@@ -275,7 +294,7 @@ def onto_grid(frames: DataFrame, episodes: DataFrame, field: str = "observation.
     model = first_model()
     r = model.basis.shape[1]
     for _ in range(rounds):
-        sums = windows.select("cells").mapInArrow(_times(width, model), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()  # about 14,000 rows
+        sums = windows.select("used", "cells").mapInArrow(_times(width, model), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()  # about 14,000 rows
         total = np.zeros(WIDE * (r * r + r) + r * r + _LOG_BINS + 1)
         total[[x["cell"] for x in sums]] = [x["value"] for x in sums]
         if not total[-1]:
