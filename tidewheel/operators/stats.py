@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.session import cut
+from tidewheel.session import cut, partitions
 
 #: Bins of a histogram quantile, and how far its edges lie beyond the values.
 BINS, EDGE = 5_000, 1e-10
@@ -206,7 +207,7 @@ def _moment_matrix(df: DataFrame, vector: Column, width: int) -> DataFrame:
     if width > MOST_DIMS:
         raise ValueError(f"at most {MOST_DIMS} dimensions")
     sized = df.select(F.when(F.size(vector) == width, vector.cast("array<double>")).alias("v"))
-    blocks = sized.mapInArrow(_products(width), "sums binary").repartition(64).mapInArrow(_added(width, False), "sums binary")
+    blocks = sized.mapInArrow(_products(width), "sums binary").repartition(max(1, math.isqrt(partitions(df)))).mapInArrow(_added(width, False), "sums binary")
     return blocks.coalesce(1).mapInArrow(_added(width, True), "n long, mean array<double>, cov array<double>")
 
 
