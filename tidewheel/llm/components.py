@@ -28,7 +28,7 @@ def member_links(members: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
     which goes on to the level above. So no node has more than about 2 ** fan_bits links per level, however hot a key is, and no task
     sees more of a key than that at once.
     """
-    m = cut(members.where("key is not null and v is not null").select("key", "v").distinct().withColumn("h", F.xxhash64("v")))
+    m = members.where("key is not null and v is not null").select("key", "v").distinct().withColumn("h", F.xxhash64("v"))
     most = m.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     links, level = [], max(1, math.ceil(math.log2(most) / fan_bits))
     for k in reversed(range(level)):
@@ -86,7 +86,7 @@ def components(links: DataFrame, small_links: int = SMALL_LINKS) -> DataFrame:
         merged = pairs.coalesce(1).mapInArrow(_merge, "label long, root long")
     else:
         merged = components(pairs, small_links).withColumnRenamed("v", "label")
-    return attach(labels, cut(merged), "label", "left").select("v", F.coalesce("root", "label").alias("root"))
+    return attach(labels, merged, "label", "left").select("v", F.coalesce("root", "label").alias("root"))
 
 
 def related_episodes(episodes: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def related_episodes(episodes: DataFrame) -> DataFrame:
     known = e.select(F.col("episode_index").alias("v")).distinct()
     rows = cut(root.join(known, "v"))
     groups = rows.groupBy("root").agg(F.min("v").alias("group_id"), F.count("*").alias("n_episodes")).where("n_episodes > 1")
-    return attach(rows, cut(groups), "root").select(F.col("v").alias("episode_index"), "group_id", "n_episodes")
+    return attach(rows, groups, "root").select(F.col("v").alias("episode_index"), "group_id", "n_episodes")
 
 
 def _sizes(episodes: DataFrame, frames: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def split_related(episodes: DataFrame, frames: DataFrame, targets: DataFrame, or
             got.setdefault(r["order"], {})[r["split"]] = r["size"]
         best = min(got, key=lambda k: (max(abs(got[k].get(s, 0) / total - x / whole) for s, x in shares.items()), k))
     put = _laid_out(groups, bounds, [best]).select("group_id", "split")
-    return attach(rows, cut(put), "group_id").select("episode_index", "group_id", "n_frames", "split")
+    return attach(rows, put, "group_id").select("episode_index", "group_id", "n_frames", "split")
 
 
 def split_shares(rows: DataFrame, targets: DataFrame) -> DataFrame:
